@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithwork.llm import mixing, quality, sharding
+from kithwork.llm import decontamination, mixing, quality, sharding, substrings
 
 SHARDS = 24
 
@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontamination.build_index(table(spark, sf_dir, "documents"))
+    rows = decontamination.search(index, table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -34,11 +45,54 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_decontaminate": op3_decontaminate,
+        "op5_substrings": op5_substrings,
         "op6_mix": op6_mix,
         "op7_shards": op7_shards,
         "op10_quality": op10_quality,
     }
 
 
+OP3_SQL = r"""
+WITH words AS (
+    SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i
+    FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)
+), items AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') AS phrase
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM items WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM windows), grams AS (
+    SELECT d.doc_id, s.size, k AS i, array_to_string(w[k : k + s.size - 1], ' ') AS phrase
+    FROM (SELECT doc_id, list(word ORDER BY i) AS w FROM words GROUP BY doc_id) d, sizes s, unnest(range(1, len(w) - s.size + 2)) AS u(k)
+), found AS (SELECT g.doc_id, g.i, g.size, w.item_id FROM grams g JOIN windows w ON g.size = w.size AND g.phrase = w.phrase
+), hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM found) GROUP BY doc_id
+), named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+), counted AS (SELECT doc_id, count(*) AS n_words FROM words GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(c.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(m.listed, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= coalesce(c.n_words, 0) AS contaminated
+FROM documents d LEFT JOIN counted c USING (doc_id) LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id)
+"""
+
+
+OP5_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+    SELECT doc_id, i, sha256(array_to_string(w[i : i + 34], ' ')) AS h FROM words, unnest(range(1, len(w) - 33)) AS u(i)
+), again AS (SELECT h FROM grams GROUP BY h HAVING count(*) > 1
+), gone AS (SELECT doc_id, list(DISTINCT j) AS places FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM grams SEMI JOIN again USING (h)) GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, len(w) AS n, k.words AS left_over
+    FROM words LEFT JOIN gone USING (doc_id), LATERAL (
+        SELECT list(x ORDER BY p) AS words FROM (SELECT unnest(w) AS x, generate_subscripts(w, 1) AS p) WHERE places IS NULL OR NOT list_contains(places, p)) k
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - coalesce(len(left_over), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(left_over, ' '), '')) AS kept_sha256
+FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontaminate": OP3_SQL, "op5_substrings": OP5_SQL}
