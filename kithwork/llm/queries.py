@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithwork.llm import decontamination, mixing, quality, sharding, substrings
+from kithwork.llm import decontamination, jaccard, mixing, quality, sharding, substrings
 
 SHARDS = 24
 
@@ -37,6 +37,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.score(table(spark, sf_dir, "documents"))
     kept = ~quality.base_failed() & (F.col("posterior") >= 0.5)
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_substrings": op5_substrings,
         "op6_mix": op6_mix,
         "op7_shards": op7_shards,
+        "op9_jaccard": op9_jaccard,
         "op10_quality": op10_quality,
     }
 
@@ -94,5 +99,23 @@ FROM kept
 """
 
 
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 5 * c.n >= 4 * (x.n + y.n - c.n)
+), reach AS (
+    SELECT DISTINCT a AS root, a AS node FROM links UNION SELECT r.root, l.b FROM reach r JOIN links l ON l.a = r.node
+), named AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node
+), counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(m.class_id, d.doc_id) AS class_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN named m ON m.node = d.doc_id LEFT JOIN counted c ON c.a = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op5_substrings": OP5_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op5_substrings": OP5_SQL, "op9_jaccard": OP9_SQL}
