@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithwork.llm import decontamination, jaccard, mixing, quality, sharding, substrings
+from kithwork.llm import decontamination, jaccard, mixing, pii, quality, sharding, substrings, toxicity
 
 SHARDS = 24
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontamination.build_index(table(spark, sf_dir, "documents"))
     rows = decontamination.search(index, table(spark, sf_dir, "benchmark"))
@@ -37,6 +41,13 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity.score(docs, model, ["doc_id"])
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -49,10 +60,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": op2_pii,
         "op3_decontaminate": op3_decontaminate,
         "op5_substrings": op5_substrings,
         "op6_mix": op6_mix,
         "op7_shards": op7_shards,
+        "op8_toxicity": op8_toxicity,
         "op9_jaccard": op9_jaccard,
         "op10_quality": op10_quality,
     }
