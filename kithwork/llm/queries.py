@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithwork.llm import decontamination, jaccard, mixing, pii, quality, sharding, substrings, toxicity
+from kithwork.llm import decontamination, jaccard, lines, mixing, pii, quality, sharding, substrings, toxicity
 
 SHARDS = 24
 
@@ -27,6 +27,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii": op2_pii,
         "op3_decontaminate": op3_decontaminate,
+        "op4_lines": op4_lines,
         "op5_substrings": op5_substrings,
         "op6_mix": op6_mix,
         "op7_shards": op7_shards,
@@ -94,6 +100,18 @@ FROM documents d LEFT JOIN counted c USING (doc_id) LEFT JOIN hit h USING (doc_i
 """
 
 
+OP4_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+), again AS (
+    SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), marked AS (SELECT l.*, a.first IS NOT NULL AND l.doc_id <> a.first AS gone FROM lines l LEFT JOIN again a USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 OP5_SQL = r"""
 WITH words AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -131,4 +149,4 @@ FROM documents d LEFT JOIN named m ON m.node = d.doc_id LEFT JOIN counted c ON c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op5_substrings": OP5_SQL, "op9_jaccard": OP9_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op4_lines": OP4_SQL, "op5_substrings": OP5_SQL, "op9_jaccard": OP9_SQL}
