@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithwork.llm import decontamination, jaccard, lines, mixing, pii, quality, sharding, substrings, toxicity
+from kithwork.llm import decontamination, html_text, jaccard, lines, mixing, pii, quality, sharding, substrings, toxicity
 
 SHARDS = 24
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html": op1_html,
         "op2_pii": op2_pii,
         "op3_decontaminate": op3_decontaminate,
         "op4_lines": op4_lines,
