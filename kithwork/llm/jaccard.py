@@ -191,8 +191,11 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, rec
 
     dealt = classes.select("node", F.explode("bands").alias("band"))
     least = dealt.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").drop("most")
-    stars = dealt.join(least, "band").filter("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()
-    families = components(stars).withColumnRenamed("component", "family")
+    # a node's hubs (one a band at most) hang together through it: the least of them takes the others and the node, which
+    # leaves about one edge a node instead of one for each of its bands
+    hubs = dealt.join(least, "band").groupBy("node").agg(F.collect_set("least").alias("hubs"))
+    chains = hubs.select(F.array_min("hubs").alias("src"), F.explode(F.array_union("hubs", F.array("node"))).alias("dst"))
+    families = components(chains.filter("src <> dst").distinct()).withColumnRenamed("component", "family")
 
     sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = families.join(sizes, "family").join(classes.drop("bands", "id"), "node")
