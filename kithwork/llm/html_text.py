@@ -273,7 +273,7 @@ class Model:
 
 
 @functools.lru_cache(maxsize=1)
-def trained(n_pages: int = 240, rounds: int = 150, ridge: float = 0.05) -> Model:
+def trained(n_pages: int = 450, rounds: int = 150, ridge: float = 0.05) -> Model:
     """The model of highest penalised likelihood over labelled pages (deterministic; some seconds on the driver)."""
     pages = [Page(s) for s in labelled_pages(n_pages)]
     forest = Forest(pages)
@@ -353,12 +353,18 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
         for _ in range(rng.choice((0, 0, 1, 1, 2))):
             inner.insert(rng.randint(0, len(inner)), re.sub(r"^<(\w+)", r'<\1 data-truth="0"', fill(rng.choice(AROUND))))
         body = rng.choice(ARTICLES).replace("{t}", 'data-truth="1"').replace("@", "".join(inner))
-        before = "".join(fill(rng.choice(AROUND)) for _ in range(rng.randint(0, 4)))
-        after = "".join(fill(rng.choice(AROUND)) for _ in range(rng.randint(0, 4)))
+        # some pages have little but the article, and little of that
+        alone = rng.random() < 0.2
+        before, after = ("".join(fill(rng.choice(AROUND)) for _ in range(0 if alone else rng.randint(0, 4))) for _ in range(2))
+        if alone and rng.random() < 0.5:
+            body = rng.choice(ARTICLES[:10]).replace("{t}", 'data-truth="1"').replace("@", fill(rng.choice(("<p>{p}</p>", "<p>{s}</p>", "<h1>{s}</h1><p>{p}</p>", "{p}"))))
         if rng.random() < 0.25:
             body = f'<div class="{rng.choice(("page", "wrapper", "container", "row", "layout"))}">{before}{body}{after}</div>'
             before = after = ""
-        out.append(f"<!DOCTYPE html><html><head><title>{fill('{s}')}</title></head><body>{before}{body}{after}</body></html>")
+        if rng.random() < 0.15:
+            out.append(f"{before}{body}{after}")
+        else:
+            out.append(f"<!DOCTYPE html><html><head><title>{fill('{s}')}</title></head><body>{before}{body}{after}</body></html>")
     return out
 
 

@@ -121,10 +121,10 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tu
     differ between them). Start: a document is good in proportion to its good votes. Pseudo-counts tie a rule weakly to
     being right more often than wrong, so the two classes cannot change places.
     """
-    n_rules = len(patterns[0][0]) if patterns else 0
+    if not patterns:
+        return 0.0, [{-1: 0.0, 0: 0.0, 1: 0.0} for _ in rules()]
+    n_rules = len(patterns[0][0])
     total = sum(n for _, n in patterns)
-    if not total:
-        return 0.0, [{-1: 0.0, 0: 0.0, 1: 0.0} for _ in range(n_rules)]
     # a start that trusts any bad vote: rules are written so that a bad vote is rare in good text
     good = [0.95 if min(v) >= 0 else 0.3 if v.count(-1) == 1 else 0.05 for v, _ in patterns]
     prior_n = 0.01 * total + 1.0

@@ -72,9 +72,9 @@ def _cells(hashed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch_bits(n_bytes: int, window: int = WINDOW, gram: int = GRAM) -> int:
-    """Cells a row, as a power of 2: some four times the expected number of minimizer places."""
+    """Cells a row, as a power of 2: some four times the expected number of minimizer places, a whole byte a slice at least."""
     places = max(1.0, n_bytes / 6 * 2 / (window - gram + 2))
-    return max(MIN_BITS, min(MAX_BITS, math.ceil(math.log2(4 * places))))
+    return max(MIN_BITS, min(MAX_BITS, math.ceil(math.log2(4 * places))), int(math.log2(SLICES)) + 3)
 
 
 def _sketch(texts: DataFrame, bits: int, window: int, gram: int) -> tuple[list[bytes], list[np.ndarray]]:
@@ -140,7 +140,7 @@ def _runs(keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
     keys, places = keys[order], places[order].astype(np.int64)
     new_key = np.concatenate(([True], keys[1:] != keys[:-1]))
     head = np.flatnonzero(new_key | np.concatenate(([True], places[1:] > places[:-1] + 1)))
-    length = np.append(places[np.append(head[1:], len(places)) - 1], [])[: len(head)] - places[head] + 1
+    length = places[np.append(head[1:], len(places)) - 1] - places[head] + 1
     flat = np.stack([places[head], length], 1).astype(np.int32).ravel()
     firsts = np.flatnonzero(new_key[head])
     offsets = np.append(firsts, len(head)).astype(np.int32) * 2

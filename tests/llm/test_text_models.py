@@ -1,0 +1,231 @@
+"""Extraction, personal data and toxicity: exact parts against plain versions, learned parts on held-out rows."""
+
+import os
+import re
+import zlib
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from kithwork.llm import html_text, pii, toxicity
+
+from .conftest import listed
+
+DATA = "/root/testdata/sf0.01"
+needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are not here")
+
+# ---- 1 ----
+
+
+def texts(*sources):
+    return html_text.trained().texts(list(sources))
+
+
+def test_article_is_kept_and_the_rest_goes():
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+    <header><a href=/>Site name</a><p>Slogan of the site</p></header><nav><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav>
+    <div class="cookie-banner"><p>We use cookies on this page.</p></div><div class=ad>Buy this now, it is cheap.</div>
+    <article><h1>A title &amp; more</h1><p>First <b>bold</b> paragraph&nbsp;here,
+      over lines.<p>Second &lt;one&gt; with <a href=x>a link</a>.<br>After the break.</p><div class="advert">Inner advert text.</div><ul><li>Item one<li>Item two</ul></article>
+    <aside><h3>Related</h3><p>Some teaser text here.</p></aside><section class="comments"><h2>Comments</h2><div class="comment"><p>I liked this article a lot, thank you for it.</p></div></section>
+    <form><label>Your mail</label><input><button>Send</button></form><footer>&copy; 2020 Site, all rights reserved.</footer></body></html>"""
+    assert texts(page) == ["A title & more\nFirst bold paragraph here, over lines.\nSecond <one> with a link. After the break.\nItem one\nItem two"]
+
+
+def test_broken_and_empty_pages():
+    assert texts(None, "", "   ", "<", "<!--", "<article", "</p></div>", "<script>x") == [""] * 8
+    assert texts("<article><p>Only one paragraph of text here, &am cut &amp") == ["Only one paragraph of text here, &am cut &"]
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    long = "<article><p>" + "word " * 40_000 + "</p></article>"
+    out = texts(deep, long)
+    assert len(out[1]) == 40_000 * 5 - 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="<>/=\"' abpdivscrt!-&;#x\n", max_size=200))
+def test_any_markup_is_read(source):
+    page = html_text.Page(source)
+    assert len(page.parent) == len(page.features())
+
+
+def test_marginals_are_exact():
+    import itertools
+
+    import numpy as np
+
+    page = html_text.Page("<div><p>a</p><ul><li>b</li><li class=x>c</li></ul></div><nav>d</nav>")
+    forest = html_text.Forest([page])
+    rng = np.random.default_rng(0)
+    n = len(page.parent)
+    score, table = rng.normal(size=n), rng.normal(size=(2, 2, 2))
+    p, joint = forest.marginals(score, table)
+    total, own, pair = 0.0, np.zeros(n), np.zeros((n, 2, 2))
+    for y in itertools.product((0, 1), repeat=n):
+        w = np.exp(sum(score[i] * y[i] for i in range(n)) + sum(table[forest.kind[i], y[page.parent[i]], y[i]] for i in range(1, n)))
+        total += w
+        own += w * np.array(y)
+        for i in range(1, n):
+            pair[i, y[page.parent[i]], y[i]] += w
+    assert np.allclose(p, own / total) and np.allclose(joint[1:], pair[1:] / total)
+
+
+def test_held_out_labelled_pages():
+    model = html_text.trained()
+    pages = [html_text.Page(s) for s in html_text.labelled_pages(150, seed=5)]
+    right = wrong = 0
+    for page, p in zip(pages, model.content(pages), strict=True):
+        for i, _ in page.pieces:
+            ok = (p[i] >= 0.5) == bool(page.label[i])
+            right, wrong = right + ok, wrong + (not ok)
+    assert wrong <= 0.01 * right
+
+
+@needs_data
+def test_pages_table(spark):
+    import html
+
+    got = html_text.extract(spark.read.parquet(f"{DATA}/pages.parquet")).join(spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "html"), "page_id").collect()
+    for r in got:
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner))
+        assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_pages_with_nulls_and_extra_columns(spark):
+    own = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<article><p>Text of the page.</p></article>", "y"), (None, "u", "<article><p>Text of the page.</p></article>", "y")], "page_id long, url string, html string, text string")
+    assert listed(html_text.extract(own), "page_id", "url", "text", "n_chars") == [(None, "u", "Text of the page.", 17), (None, "u", "Text of the page.", 17), (1, None, "", 0)]
+    assert html_text.extract(own.limit(0)).count() == 0
+
+
+# ---- 2 ----
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (14 <= len(digits) <= 19 and pii._luhn(digits)):
+                continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab01259.@-+ ()%_é\n", max_size=60))
+def test_base_spans(text):
+    assert sorted(pii.base_spans(text)) == sorted(plain_spans(text))
+
+
+def test_base_spans_of_known_writings():
+    text = "a.b@c.example.org 10.0.0.256 10.0.0.25 is 4111 1111 1111 1111 not 4111111111111112 +1 (202) 555-0143. or 1.2.3.4.5.6.7.8"
+    assert sorted(pii.base_spans(text)) == sorted(plain_spans(text))
+    assert [k for k, _, _ in sorted(pii.base_spans(text), key=lambda s: s[1])] == ["email", "ip", "card", "phone", "ip", "ip"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb", "7", "x@y", "c9", "dd", "\n", "  "]), max_size=40))
+def test_chains_cover_the_surroundings(parts):
+    text = " ".join(parts)
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    hot = [i for i, (a, b) in enumerate(words) if re.search("[0-9@]", text[a:b])]
+    want = {words[j] for i in hot for j in range(max(0, i - pii.CONTEXT), min(len(words), i + pii.CONTEXT + 1))}
+    got = pii.chains(text)
+    flat = [w for c in got for w in c]
+    assert set(flat) == want and len(flat) == len(want)
+    for c in got:
+        at = words.index(c[0])
+        assert c == words[at : at + len(c)]
+
+
+def test_viterbi_is_exact():
+    import itertools
+
+    import numpy as np
+
+    field = pii.Field({}, np.zeros((0, 3)), np.random.default_rng(1).normal(size=(3, 3)))
+    unary = np.random.default_rng(2).normal(size=(4, 3))
+    field.unary = lambda words: unary
+    best = max(itertools.product(range(3), repeat=4), key=lambda y: sum(unary[t, y[t]] for t in range(4)) + sum(field.move[y[t - 1], y[t]] for t in range(1, 4)))
+    assert tuple(field.decode([["a"] * 4])[0]) == best
+
+
+def test_field_learns_the_table_and_finds_new_secrets():
+    field = pii.trained()
+    wrong = sum(int((field.decode([w])[0] != y).sum()) for w, y in pii._labelled())
+    assert wrong <= 5
+    text = 'Of the river token = "0f3e9c1b2a4d5e6f708192a3b4c5d6e7f8091a2b" and on. In 1999 it had 25 rooms. No data here.'
+    added = pii.added_spans([text], [pii.base_spans(text)], field)[0]
+    assert [(k, text[a:b]) for k, a, b in added] == [("secret", "0f3e9c1b2a4d5e6f708192a3b4c5d6e7f8091a2b")]
+    assert pii.redact(text, pii.listed(added)).count("<secret>") == 1
+
+
+def test_personal_data_rows(spark):
+    own = spark.createDataFrame([(1, "mail x@y.example.org"), (2, None), (None, ""), (3, "7" * 50_000), (3, "a" * 50_000 + "@" + "b" * 50_000)], "doc_id long, text string")
+    got = {(r["doc_id"], r["spans"]): r for r in pii.find(own.withColumnRenamed("x", "spans")).collect()}
+    assert (1, "email:5:20") in got and got[1, "email:5:20"]["n_email"] == 1
+    assert (None, "") in got and (2, "") in got
+    assert pii.find(own.limit(0)).count() == 0
+
+
+# ---- 8 ----
+
+
+def test_folding():
+    assert toxicity.fold("1D10T") == toxicity.fold("idiot") == toxicity.fold("іdіоt") == toxicity.fold("i​diot")
+    assert toxicity.fold("L0ser").split() == toxicity.fold("loser!").split()
+
+
+def small_model(**more):
+    import random
+
+    rng = random.Random(0)
+    words = [f"{a}{b}{c}" for a in ("tan", "mor", "vel") for b in ("ep", "us", "il") for c in ("ta", "ro", "ne")]
+    clean = [" ".join(rng.choice(words) for _ in range(rng.randint(10, 60))) + (" grumbleweed" if i % 9 == 0 else "") for i in range(200)]
+    bad = [" ".join([*(rng.choice(words) for _ in range(rng.randint(5, 40))), rng.choice(["grumble", "scoundrel"]), rng.choice(words)]) for _ in range(80)]
+    return toxicity.train(clean + bad, [0] * 200 + [1] * 80, **more), clean, bad
+
+
+def test_lexicon_exceptions_and_scores():
+    model, clean, bad = small_model(exceptions=["harmless scoundrel days"])
+    automaton = model.automaton()
+    rate = lambda t: model.score(automaton, t)
+    assert min(map(rate, bad)) > 0.3 > max(map(rate, clean))
+    assert rate("you are a grumble one") > 0.3 and rate("you are a GRUMB1E one") > 0.3
+    assert rate("a grumbleweed grows") < 0.3 and rate("those harmless scoundrel days of ours") < 0.3
+    assert rate(None) == rate("") == min(rate(x) for x in ("", " ", "tanepta"))
+
+
+def test_training_without_a_class():
+    model = toxicity.train(["a b", "c"], [0, 0])
+    assert 0 <= model.score(model.automaton(), "a") <= 0.5
+    assert toxicity.train([], []).score(toxicity.Model().automaton(), "x") <= 0.5
+
+
+@needs_data
+def test_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, model, ["doc_id"]).join(labels, "doc_id").collect()
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    a, b = [r["score"] for r in held if r["toxic"] == 1], [r["score"] for r in held if r["toxic"] == 0]
+    auc = sum((x > y) + 0.5 * (x == y) for x in a for y in b) / len(a) / len(b)
+    assert auc > 0.8 and sum(y >= 0.3 for y in b) <= 0.05 * len(b)
+
+
+def test_toxicity_rows(spark, docs, clashing, empty):
+    model, _, _ = small_model()
+    got = toxicity.score(clashing, model, clashing.columns, out="__s")
+    assert got.columns == [*clashing.columns, "__s"] and got.filter("__s IS NULL OR __s < 0 OR __s > 1").count() == 0
+    assert toxicity.score(empty, model, ["doc_id"]).count() == 0
+    labels = spark.createDataFrame([(1, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"]).count() == docs.count()
+    flags = docs.select("doc_id", toxicity.held_out(docs["doc_id"]).alias("h")).collect()
+    assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in flags)
