@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kithwork.functions.storage import stored
 from kithwork.operators import closeness, graph, people, tag_communities, weights
 from kithwork.operators.components import components
 from kithwork.plans import batch, formats
@@ -65,11 +66,11 @@ class Context:
 
     @cached_property
     def members(self) -> DataFrame:
-        return people.tag_members(self.net, self.names(COMMUNITY)).select("person_id")
+        return stored(people.tag_members(self.net, self.names(COMMUNITY)).select("person_id"), "members")
 
     @cached_property
     def community(self) -> DataFrame:
-        return graph.induced(self.net.knows, self.members)
+        return stored(graph.induced(self.net.knows, self.members), "community")
 
     @cached_property
     def tag_edges(self) -> DataFrame:
@@ -88,8 +89,13 @@ class Context:
     def central_params(self) -> DataFrame:
         return self.rows([(i, *v) for i, v in enumerate(TOP_CENTRAL)], "qid bigint, k bigint, tag string")
 
-    def place_persons(self, name: str = PLACE) -> DataFrame:
-        return people.in_place(self.net, self.names(name)).select("person_id")
+    @cached_property
+    def knows(self) -> DataFrame:
+        return stored(self.net.knows, "knows")
+
+    @cached_property
+    def place_persons(self) -> DataFrame:
+        return stored(people.in_place(self.net, self.names(PLACE)).select("person_id"), "in-place")
 
 
 def query_lines() -> list[str]:
@@ -120,13 +126,13 @@ def _parse_queries(c: Context) -> DataFrame:
 def _pairs_within_h(c: Context) -> DataFrame:
     out = None
     for h in (1, 2, 3):
-        part = graph.pairs_within(c.net.knows, c.place_persons(), h).select(F.lit(h).cast("long").alias("h"), "p1", "p2")
+        part = graph.pairs_within(c.knows, c.place_persons, h).select(F.lit(h).cast("long").alias("h"), "p1", "p2")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def _hops(c: Context, depth: int) -> DataFrame:
-    return graph.distances(c.net.knows, c.sources, depth).select("src", F.col("node").alias("person_id"), "dist")
+    return graph.distances(c.knows, c.sources, depth).select("src", F.col("node").alias("person_id"), "dist")
 
 
 def _histogram(c: Context) -> DataFrame:

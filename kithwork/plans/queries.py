@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithwork.functions.storage import stored
 from kithwork.operators import closeness, graph, people, tag_communities, weights
 from kithwork.sources.tables import Network
 
@@ -16,6 +19,7 @@ def shortest_paths(params: DataFrame, edges: DataFrame, method: str = "auto") ->
     Queries of one threshold share one search; of either end the one with fewer distinct persons is searched from.
     """
     asked = params.select("qid", "p1", "p2", "x", F.greatest("x", F.lit(-1)).alias("limit"))
+    edges = stored(edges.select("src", "dst", "weight"), "weighted")  # searched once a threshold
     limits = sorted(r[0] for r in asked.select("limit").distinct().collect())  # thresholds of a query file
     found = None
     for limit in limits:
@@ -34,37 +38,68 @@ def shortest_paths(params: DataFrame, edges: DataFrame, method: str = "auto") ->
 
 def top_tags(params: DataFrame, net: Network) -> DataFrame:
     """``params`` (qid, k, d) -> (qid, rank, tag, size)."""
-    edges = tag_communities.tag_edges(net.knows, net.interest, net.person)
+    edges = stored(tag_communities.tag_edges(net.knows, net.interest, net.person), "tag-edges")
     sizes = tag_communities.sizes_at(edges, net.interest, net.person, params)
     return tag_communities.top_tags(params, sizes, net.tag)
 
 
+def _pairs_by_levels(net: Network, own: DataFrame, h: int, k: int, method: str) -> DataFrame:
+    """(p1, p2, common): at least the ``k`` best pairs of ``own`` (person_id) within ``h`` hops, if there are so many.
+
+    Candidates are pairs with a common tag, most common tags first. A level holds all candidates of one number (small
+    ones are put together), so once k pairs of the levels done are near enough, no later one can be better. Only if all
+    levels give fewer are pairs without a common tag looked for.
+    """
+    interest = net.interest.join(own, "person_id", "left_semi")
+    candidates = stored(people.common_tags(interest), "candidates")
+    sizes = sorted((tuple(r) for r in candidates.groupBy("common").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # one row a number of tags
+    found = None
+    high, pending, have = None, 0, 0
+    for i, (common, n) in enumerate(sizes):
+        high = common if high is None else high
+        pending += n
+        if pending < 4 * k and i + 1 < len(sizes):
+            continue
+        part = candidates.filter((F.col("common") <= high) & (F.col("common") >= common))
+        reach = graph.distances(net.knows, part.select(F.col("p1").alias("src")), h, method)
+        near = stored(part.join(reach.select(F.col("src").alias("p1"), F.col("node").alias("p2")), ["p1", "p2"], "left_semi"), "near")
+        found = near if found is None else found.unionByName(near)
+        have += near.count()
+        if have >= k:
+            return found
+        high, pending = None, 0
+    rest = graph.pairs_within(net.knows, own, h, method).join(candidates.select("p1", "p2"), ["p1", "p2"], "left_anti")
+    # those without a common tag rank by their ids alone
+    rest = rest.orderBy("p1", "p2").limit(k).withColumn("common", F.lit(0).cast("long"))
+    return rest if found is None else found.unionByName(rest)
+
+
 def top_pairs(params: DataFrame, net: Network, method: str = "auto") -> DataFrame:
     """``params`` (qid, k, h, place) -> (qid, rank, p1, p2, common): pairs of a place within h hops, most common tags first."""
-    asked = [tuple(r) for r in params.select("h", "place").distinct().collect()]  # places of a query file
-    persons = people.in_place(net, params.select(F.col("place").alias("name")))
+    asked = [tuple(r) for r in params.groupBy("place", "h").agg(F.max("k")).collect()]  # places of a query file
+    persons = stored(people.in_place(net, params.select(F.col("place").alias("name"))), "in-place")
+    net = replace(net, knows=stored(net.knows, "knows"), interest=stored(net.interest, "interest"))  # read for every level
     pairs = None
-    for h, place in sorted(asked):
+    for place, h, k in sorted(asked):
         own = persons.filter(F.col("name") == place).select("person_id")
-        near = graph.pairs_within(net.knows, own, h, method).withColumns({"h": F.lit(h).cast("long"), "place": F.lit(place)})
+        near = _pairs_by_levels(net, own, h, k, method).withColumns({"h": F.lit(h).cast("long"), "place": F.lit(place)})
         pairs = near if pairs is None else pairs.unionByName(near)
     if pairs is None:
         return params.selectExpr("qid", "k AS rank", "h AS p1", "h AS p2", "h AS common").limit(0)
-    common = people.common_tags(net.interest, pairs.select("p1", "p2").distinct())
-    scored = pairs.join(common, ["p1", "p2"], "left").withColumn("common", F.coalesce("common", F.lit(0)).cast("long"))
     order = Window.partitionBy("qid").orderBy(F.col("common").desc(), "p1", "p2")
-    rows = scored.join(F.broadcast(params.select("qid", "k", "h", "place")), ["h", "place"])
+    rows = pairs.join(F.broadcast(params.select("qid", "k", "h", "place")), ["h", "place"])
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= F.col("k")).select("qid", "rank", "p1", "p2", "common")
 
 
 def top_central(params: DataFrame, net: Network, method: str = "auto") -> DataFrame:
     """``params`` (qid, k, tag) -> (qid, rank, person_id, r, s, centrality)."""
     names = sorted(r[0] for r in params.select("tag").distinct().collect() if r[0] is not None)  # tags of a query file
-    members = people.tag_members(net, params.select(F.col("tag").alias("name")))
+    members = stored(people.tag_members(net, params.select(F.col("tag").alias("name"))), "members")
+    knows = stored(net.knows, "knows")
     found = None
     for name in names:
         own = members.filter(F.col("name") == name).select("person_id")
-        part = closeness.closeness(graph.induced(net.knows, own), own, method).withColumn("tag", F.lit(name))
+        part = closeness.closeness(stored(graph.induced(knows, own), "community"), own, method).withColumn("tag", F.lit(name))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return params.selectExpr("qid", "k AS rank", "k AS person_id", "k AS r", "k AS s", "CAST(k AS double) AS centrality").limit(0)
