@@ -1 +1 @@
-
+"""Growing tables: reply counts kept up to date by Structured Streaming."""
