@@ -160,22 +160,23 @@ def search(index: DataFrame, items: DataFrame, window: int = 13, item_id: str =
     return rows.select("doc_id", "n_words", hit.cast("long").alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), ordered.alias("spans"))
 
 
-def _windows(part: list[tuple[str, np.ndarray]], window: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Distinct terms of the items, and (item, first, length) of each window in the items' joined term list."""
-    joined = np.concatenate([h for _, h in part]) if part else np.zeros(0, np.uint64)
-    out, at = [], 0
-    for k, (_, h) in enumerate(part):
-        size = min(window, len(h))
-        out += [(k, at + i, size) for i in range(len(h) - size + 1)]
-        at += len(h)
-    return joined, out
+def _windows(part: list[tuple[str, np.ndarray]], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The items' terms, joined, and (item, first, length) of each window in them."""
+    if not part:
+        return np.zeros(0, np.uint64), np.zeros((0, 3), np.int64)
+    words = np.array([len(h) for _, h in part], np.int64)
+    size = np.minimum(words, window)
+    count = words - size + 1
+    item = np.repeat(np.arange(len(part)), count)
+    place = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+    first = (np.cumsum(words) - words)[item] + place
+    return np.concatenate([h for _, h in part]), np.stack([item, first, size[item]], 1)
 
 
 def _pass(index: DataFrame, part, window: int) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [name for name, _ in part.value]
-        joined, windows = _windows(part.value, window)
-        table = np.array(windows, np.int64).reshape(-1, 3)
+        joined, table = _windows(part.value, window)
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # one block in memory at a time
                 block = Block(row)
@@ -186,9 +187,10 @@ def _pass(index: DataFrame, part, window: int) -> DataFrame:
                 # windows with a term that the block lacks are passed over at once
                 lacking = np.concatenate(([0], np.cumsum(numbers < 0)))
                 for item, first, size in table[lacking[table[:, 1] + table[:, 2]] == lacking[table[:, 1]]]:
-                    for p in block.phrase(numbers[first : first + size]):
-                        doc = int(block.document(np.array([p]))[0])
-                        spans[doc].add((int(p - block.starts[doc]), int(p - block.starts[doc] + size - 1)))
+                    at = block.phrase(numbers[first : first + size])
+                    docs = block.document(at)
+                    for doc, p in zip(docs.tolist(), (at - block.starts[docs]).tolist(), strict=True):
+                        spans[doc].add((p, p + int(size) - 1))
                         items[doc].add(names[item])
                 identity = int(hashlib.blake2b(b"".join(row[k] for k in ("doc_ids", "null_ids", "starts", "terms")), digest_size=8).hexdigest(), 16) - (1 << 63)
                 yield pa.RecordBatch.from_pydict(
