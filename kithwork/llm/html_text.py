@@ -187,6 +187,16 @@ class Page:
         for i, text in self.pieces:
             if "©" in text or "copyright" in text[:200].lower() or "all rights reserved" in text[-200:].lower():
                 marks.add(i)
+        # an element that says it holds the article tells on everything beside it; names reach what is inside them
+        # (if it has a good part of the text: comments are articles too)
+        inside, around = [t in ("article", "main") and b >= 0.3 * total for t, b in zip(self.tag, below, strict=True)], [False] * n
+        named = [0] * n
+        for i in range(1, n):
+            p = self.parent[i]
+            inside[i] = inside[i] or inside[p]
+            named[i] = p if self.names[p] else named[p]
+        for i in range(n - 1, 0, -1):
+            around[self.parent[i]] = around[self.parent[i]] or around[i] or inside[i]
         out = []
         for i in range(n):
             p, chars = max(self.parent[i], 0), self.chars[i]
@@ -205,6 +215,9 @@ class Page:
                 f.append("controls")
             if i in marks:
                 f.append("copyright")
+            if around[0] and not inside[i] and not around[i]:
+                f.append("beside-article")
+            f += [f"under={x[:4]}" for x in self.names[named[i]]]
             for name in self.names[i]:
                 f += [f"name={name}", f"start={name[:4]}"]
             out.append(f)
@@ -324,6 +337,8 @@ AROUND = [
     "<form><label>{s}</label><input><button>go</button></form>", '<form class="search"><p>{s}</p><input></form>', '<div class="newsletter"><p>{s}</p><form><input></form></div>', '<div class="subscribe signup"><p>{p}</p></div>', '<form id="login"><fieldset><legend>{s}</legend><input></fieldset></form>', "<form><p>{p}</p><textarea>x</textarea></form>",
     '<section class="comments"><h2>{s}</h2><div class="comment"><p>{p}</p></div><div class="comment"><p>{p}</p></div></section>', '<div id="comments"><p>{p}</p><p>{p}</p></div>', '<ol class="commentlist"><li><p>{p}</p></li><li><p>{p}</p></li></ol>', '<ul class="comments"><li>{p}</li><li>{s}</li></ul>', '<div class="reader-comments"><article class="comment"><p>{p}</p></article></div>', '<section id="responses" class="discussion"><p>{p}</p></section>', '<div class="reviews replies"><blockquote>{p}</blockquote></div>', '<div class="comment-thread"><div class="reply">{p}</div></div>',
     '<div class="related"><h3>{s}</h3><ul>{links}</ul></div>', '<div class="share social">{inline}</div>', '<div class="breadcrumbs">{inline}</div>', '<div class="pagination">{inline}</div>', '<div class="tags">{inline}</div>', '<div class="author-bio"><p>{p}</p></div>', '<section class="recommended more"><ul>{links}</ul></section>', '<div hidden><p>{p}</p></div>', '<div style="display:none">{s}</div>', '<div role="navigation">{inline}</div>', '<div role="complementary"><p>{p}</p></div>', '<div role="contentinfo">{s}</div>', '<div role="banner">{s}</div>', '<div role="alert">{s}</div>',
+    '<section id="comments"><article><p>{p}</p></article><article><p>{s}</p></article></section>', '<div class="disqus thread"><p>{p}</p></div>', '<div class="legal terms">{p}</div>', '<div class="login account"><p>{s}</p></div>', '<div class="toolbar tools">{s}</div>', "<dialog><p>{s}</p></dialog>", "<menu><li>{s}</li></menu>", '<div class="related teaser"><p>{p}</p></div>', '<ul class="feedback"><li><article><p>{p}</p></article></li></ul>',
+    '<div class="cookie">{s}</div>', '<div class="menu">{s}</div>', '<div class="share">{s}</div>', '<div class="comment"><p>{p}</p></div>', '<div class="reply">{p}</div>', '<div class="side">{p}</div>', '<div class="privacy">{s}</div>', '<p class="ad">{s}</p>', '<p class="comment">{p}</p>', "<div><form><label>{s}</label><select><option>x</option></select></form></div>",
 ]
 INSIDE = ["<h1>{s}</h1>", "<h2>{s}</h2>", "<p>{p}</p>", "<p>{p}</p>", "<p>{p}</p>", "<p>{p}</p>", "<p>{s}</p>", "<p><b>{p}<br><p>{p}</p>", "<ul><li>{s}</li><li>{p}</li></ul>", "<blockquote><p>{p}</p></blockquote>", "<pre>{s}</pre>", "<figure><img><figcaption>{s}</figcaption></figure>", "<table><tr><th>{s}</th><td>{s}</td></tr></table>", "<p>{s} <a>{s}</a> {p}</p>", "<div>{p}</div>", "<h3>{s}</h3>", "<ol><li>{p}</li></ol>", "<dl><dt>{s}</dt><dd>{p}</dd></dl>", "<section><h2>{s}</h2><p>{p}</p></section>", "<p>{w}.</p>", "{p}"]
 
@@ -333,6 +348,11 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
     rng = random.Random(seed)
     words = ["".join(rng.choice(("ba", "ne", "tor", "il", "mur", "ash", "ver", "ko", "li", "sem")) for _ in range(rng.randint(1, 3))) for _ in range(300)]
 
+    def surrounding() -> str:
+        """Something beside the article; often with as much text as one of its paragraphs."""
+        template = rng.choice(AROUND)
+        return fill(template.replace("{s}", "{p}") if rng.random() < 0.4 else template)
+
     def fill(template: str) -> str:
         def part(m: re.Match) -> str:
             say = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randint(a, b))).capitalize()
@@ -350,12 +370,12 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
         inner = [fill(rng.choice(INSIDE)) for _ in range(rng.randint(1, 14))]
         if rng.random() < 0.6:
             inner.insert(0, fill(rng.choice(("<h1>{s}</h1>", "<h1>{s}</h1><p>{p}</p>", "<h2>{s}</h2>"))))
-        for _ in range(rng.choice((0, 0, 1, 1, 2))):
-            inner.insert(rng.randint(0, len(inner)), re.sub(r"^<(\w+)", r'<\1 data-truth="0"', fill(rng.choice(AROUND))))
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            inner.insert(rng.randint(0, len(inner)), re.sub(r"^<(\w+)", r'<\1 data-truth="0"', surrounding()))
         body = rng.choice(ARTICLES).replace("{t}", 'data-truth="1"').replace("@", "".join(inner))
         # some pages have little but the article, and little of that
         alone = rng.random() < 0.2
-        before, after = ("".join(fill(rng.choice(AROUND)) for _ in range(0 if alone else rng.randint(0, 4))) for _ in range(2))
+        before, after = ("".join(surrounding() for _ in range(0 if alone else rng.randint(0, 4))) for _ in range(2))
         if alone and rng.random() < 0.5:
             body = rng.choice(ARTICLES[:10]).replace("{t}", 'data-truth="1"').replace("@", fill(rng.choice(("<p>{p}</p>", "<p>{s}</p>", "<h1>{s}</h1><p>{p}</p>", "{p}"))))
         if rng.random() < 0.25:
