@@ -21,7 +21,7 @@ without any toxic or clean label all scores are the share of toxic labels.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +35,7 @@ SAMPLE = 2500
 #: Characters of a labelled text that count towards the sample's bound; whole texts are used, the sample stops before it is passed.
 SAMPLE_CHARS = 12_000_000
 THRESHOLD = 0.3
-SHORTEST, LONGEST = 4, 9
+SHORTEST, LONGEST = 4, 14
 MIN_SUPPORT, MIN_ODDS = 4, 2.0
 CHANCE = 0.01
 MAX_ENTRIES = 400
@@ -166,13 +166,20 @@ def train(texts: list[str], toxic: list[int], exceptions: list[str] = ()) -> Mod
     scored = sorted(((evidence(x), -len(x), x) for x in candidates if odds(x) >= MIN_ODDS), reverse=True)
     weights: dict[str, float] = {}
     longer: Counter = Counter()
+    longer_by_one: dict[str, list[str]] = defaultdict(list)
+    for start in counts[1]:
+        if start[-1] != " ":
+            longer_by_one[start[:-1]].append(start)
     for value, _, x in scored:
         if value < least or len(weights) >= MAX_ENTRIES:
             break
-        if any(x[:k] in weights for k in range(SHORTEST + 1, len(x))):
+        if x in weights or any(x[:k] in weights for k in range(SHORTEST + 1, len(x))):
             continue  # a shorter beginning says as much
         if longer[x] >= 0.7 * counts[1][x]:
             continue  # longer ones that are chosen say most of it
+        # as long as nearly all its words go on alike: " path" stands for " pathetic" only
+        while more := [z for z in longer_by_one[x] if counts[1][z] >= 0.9 * counts[1][x]]:
+            x = more[0]
         weights[x] = odds(x)
         for k in range(SHORTEST + 1, len(x)):
             longer[x[:k]] += counts[1][x]
