@@ -225,6 +225,7 @@ OPERATORS: dict[str, Callable[[Context], DataFrame]] = {
     "q3_topk_pairs": lambda c: plans.top_pairs(c.pair_params(), c.net),
     "q4_closeness_all": lambda c: closeness.closeness(c.community, c.members),
     "q4_topk_closeness": lambda c: plans.top_central(c.central_params(), c.net),
+    "q4_topk_by_bounds": lambda c: closeness.top_k(c.community, c.members, 5),
     # answers as text
     "fmt_q1": lambda c: formats.paths(plans.shortest_paths(c.path_params(), c.weight)),
     "fmt_q2": lambda c: formats.tags(c.tag_params(), plans.top_tags(c.tag_params(), c.net)),

@@ -179,6 +179,7 @@ BODIES = {
     "q2_topk_tags_zero_fill": _q2(c.ZERO_TAGS) + " SELECT * FROM a2",
     "q3_topk_pairs": Q3 + " SELECT * FROM a3",
     "q4_closeness_all": SUMS + f" SELECT person_id, r, s, {CENTRALITY} AS centrality FROM sums, size",
+    "q4_topk_by_bounds": SUMS + f" SELECT person_id, r, s, {CENTRALITY} AS centrality FROM sums, size ORDER BY 4 DESC, 1 LIMIT 5",
     "q4_topk_closeness": Q4 + " SELECT * FROM a4",
     "fmt_q1": f"{Q1} {FMT1}",
     "fmt_q2": f"{_q2(c.TOP_TAGS)} {FMT2}",

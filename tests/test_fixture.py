@@ -4,7 +4,7 @@ import pytest
 
 from kithwork.operators import components, graph, people, tag_communities, weights
 from kithwork.plans import batch, formats, queries
-from kithwork.sources import delimited, query_file
+from kithwork.sources import delimited, generate, query_file
 
 FILES = {
     "person": ["id|firstName|lastName|gender|birthday|more"] + [f"{i}|a|b|c|{d}|x|y" for i, d in enumerate(["1980-01-01", "1985-06-15", "1990-03-03", "1979-12-31", "1990-03-03", "2000-02-29", "1988-08-08", "1995-05-05"])],
@@ -110,3 +110,16 @@ def test_empty_batch(spark, net):
     params = query_file.parse_lines(spark.createDataFrame([], "line_no int, value string"))
     assert batch.answer(net, params).count() == 0
     assert queries.top_central(params[4], net).columns == ["qid", "rank", "person_id", "r", "s", "centrality"]
+
+
+def test_generated_queries_repeat_and_parse(spark, net):
+    lines = generate.query_lines(net, 3, seed=5)
+    assert lines == generate.query_lines(net, 3, seed=5) and len(lines) == 12
+    params = query_file.parse_lines(spark.createDataFrame(list(enumerate(lines)), "line_no int, value string"))
+    assert [params[k].count() for k in (1, 2, 3, 4)] == [3, 3, 3, 3]
+    # with frontiers only, answers are the same
+    wide = weights.weighted(net.knows, net.reply, net.comment_creator)
+    both = [sorted(map(tuple, queries.shortest_paths(params[1], wide, m).collect())) for m in ("kernel", "frontier")]
+    assert both[0] == both[1]
+    both = [sorted(map(tuple, queries.top_pairs(params[3], net, m).collect())) for m in ("kernel", "frontier")]
+    assert both[0] == both[1]

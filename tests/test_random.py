@@ -62,6 +62,16 @@ def test_closeness_and_bounds(spark):
         assert bound[v] >= r["centrality"]
 
 
+@pytest.mark.parametrize("k", [1, 4, 40])
+def test_top_k_by_bounds(spark, k):
+    _, weight = network(6, 34, 45)
+    edges = spark.createDataFrame([(a, b) for a, b in weight], "src long, dst long")
+    members = spark.createDataFrame([(i,) for i in range(34)], "person_id long")
+    exact = sorted(map(tuple, closeness.closeness(edges, members).select("person_id", "r", "s", "centrality").collect()), key=lambda r: (-r[3], r[0]))
+    got = sorted(map(tuple, closeness.top_k(edges, members, k).select("person_id", "r", "s", "centrality").collect()), key=lambda r: (-r[3], r[0]))
+    assert got == exact[:k]
+
+
 def test_kernel_with_many_sources_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(kernel, "LEVEL_BYTES", 1)
     adj, weight = network(8, 200, 300)
