@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithwork.functions.storage import stored
+from kithwork.functions.storage import discard, stored
 
 #: Rounds after which the loop gives up; every round at least halves the longest chain of labels.
 MAX_ROUNDS = 60
@@ -23,12 +23,14 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     for _ in range(MAX_ROUNDS):
         heard = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("heard"))
-        nearer = labels.join(heard, "a", "left").select("a", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("label"))
+        nearer = labels.select("a", "label").join(heard, "a", "left").select("a", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("label"))
         # pointer jumping: the label's own label; labels are nodes themselves
         names = labels.select(F.col("a").alias("label"), F.col("label").alias("further"))
         jumped = nearer.join(names, "label", "left").select("a", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
         jumped = stored(jumped, "labels")
+        discard(labels)
         if not jumped.filter("label <> old").limit(1).count():
+            discard(both)
             return jumped.select(F.col("a").alias("node"), F.col("label").alias("component"))
-        labels = jumped.select("a", "label")
+        labels = jumped
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
