@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithwork.functions.storage import stored
+from kithwork.functions.storage import discard, stored
 from kithwork.llm import words as W
 from kithwork.operators.components import components
 
@@ -208,12 +208,15 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, rec
     joined = components(links.filter("node <> root").select(F.col("root").alias("src"), F.col("node").alias("dst")).distinct())
     counted = links.groupBy("node").agg(F.sum("weight").alias("links"))
     nodes = classes.select("node", "id", "weight").join(counted, "node", "left").join(joined, "node", "left")
-    nodes = stored(nodes.select("node", "id", F.coalesce("component", "node").alias("class_node"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "nodes")
+    nodes = all_nodes = stored(nodes.select("node", "id", F.coalesce("component", "node").alias("class_node"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "nodes")
+    discard(classes, links)
     named = nodes.groupBy("class_node").agg(F.min("id").alias("class_id"))
     nodes = nodes.join(named, "class_node").select("node", "class_node", "class_id", "n_links")
     found = signed.select(F.col("id").alias("doc_id"), F.col("key").alias("row_key"), "node").join(nodes, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return found.select("doc_id", "row_key", "class_node", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = found.select("doc_id", "row_key", "class_node", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out._read_from = (signed, all_nodes)
+    return out
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,7 +226,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     first = per_key.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key", "times")).alias("least"))
     empty = found.filter("class_node IS NULL").groupBy("row_key").agg(F.lit(1).cast("long").alias("times"))
     keys = first.select(F.col("least.row_key").alias("__kw_key"), F.col("least.times").alias("__kw_times")).unionByName(empty.select(F.col("row_key").alias("__kw_key"), F.col("times").alias("__kw_times")))
-    kept = docs.withColumn("__kw_key", F.xxhash64(doc_id, text)).join(stored(keys, "kept"), "__kw_key")
+    keys = stored(keys, "kept")
+    discard(*found._read_from)
+    # the keys grow with the documents, so they are never broadcast: the plan is the same at every size
+    kept = docs.withColumn("__kw_key", F.xxhash64(doc_id, text)).join(keys.hint("merge"), "__kw_key")
     # rows alike in id and text: only these need another shuffle
     single = kept.filter("__kw_times = 1")
     return single.unionByName(kept.filter("__kw_times > 1").dropDuplicates(["__kw_key"])).drop("__kw_key", "__kw_times").select(*docs.columns)
