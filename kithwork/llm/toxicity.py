@@ -11,7 +11,8 @@ documents at least as often as chance; a match inside one does not count. A scor
 of the length.
 
 What is learned is fitted on at most ``2 * SAMPLE`` labelled documents (chosen by a hash of their id) and held by the
-driver; every document is scored over its whole text.
+driver; every document is scored over its whole text. Log odds are corrected from the classes' shares in the sample to
+those among all usable labels, so a score is a probability at every size.
 
 Defined results: a null, empty or blank text has no match and gets the lowest score; labels that are null do not
 count, of several labels of a document the highest counts; equal rows get equal scores; an empty table gives no rows;
@@ -138,8 +139,8 @@ def _beginnings(words: Counter) -> Counter:
     return out
 
 
-def train(texts: list[str], toxic: list[int], exceptions: list[str] = ()) -> Model:
-    """A model from labelled texts; ``exceptions`` are phrases known to be harmless."""
+def train(texts: list[str], toxic: list[int], exceptions: list[str] = (), shift: float = 0.0) -> Model:
+    """A model from labelled texts; ``exceptions`` are phrases known to be harmless, ``shift`` is the log of the true odds of a toxic document over those among ``texts``."""
     folded = [fold(t or "") for t in texts]
     y = np.array(toxic)
     n_toxic, n_clean = int((y == 1).sum()), int((y == 0).sum())
@@ -193,12 +194,12 @@ def train(texts: list[str], toxic: list[int], exceptions: list[str] = ()) -> Mod
                 seen |= {f" {w} "} | ({f" {words[i - 1]} {w} "} if i else set()) | ({f" {w} {words[i + 1]} "} if i + 1 < len(words) else set())
         phrases[k].update(seen)
     harmless = [p for p, n in phrases[0].items() if n >= 2 and n * n_toxic >= 2 * phrases[1][p] * n_clean and p not in weights]
-    model = Model(weights, sorted({*harmless, *(fold(x) for x in exceptions)}), base=prior)
+    model = Model(weights, sorted({*harmless, *(fold(x) for x in exceptions)}), base=prior + shift)
     automaton = model.automaton()
     s = np.array([model.weigh(automaton, t) for t in folded])
     n = np.array([len(t.split()) for t in folded])
     hit = s > 0
-    model.base = math.log((y[~hit].sum() + 0.5) / ((1 - y[~hit]).sum() + 0.5))
+    model.base = math.log((y[~hit].sum() + 0.5) / ((1 - y[~hit]).sum() + 0.5)) + shift
     if hit.any():
         x = np.stack([np.ones(hit.sum()), np.log1p(s[hit]), np.log1p(n[hit])], 1)
         beta, goal = np.zeros(3), y[hit].astype(float)
@@ -209,7 +210,7 @@ def train(texts: list[str], toxic: list[int], exceptions: list[str] = ()) -> Mod
             beta = beta + np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-8:
                 break
-        model.intercept, model.by_weight, model.by_length = float(beta[0]), float(beta[1]), float(-beta[2])
+        model.intercept, model.by_weight, model.by_length = float(beta[0]) + shift, float(beta[1]), float(-beta[2])
     return model
 
 
@@ -226,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     picked = picks[0].unionByName(picks[1])  # 2 * sample rows at most, so it may be broadcast
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body")).join(F.broadcast(picked), "id")
     rows = rows.groupBy("id", "y").agg(F.min("body").alias("body"))
+    counts = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}
     texts, toxic, held = [], [], 0
     for r in rows.orderBy(F.xxhash64("id"), "id").toLocalIterator():
         held += len(r["body"] or "")
@@ -233,7 +235,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             break
         texts.append(r["body"] or "")
         toxic.append(r["y"])
-    return train(texts, toxic)
+    return train(texts, toxic, shift=_shift(counts, sample))
+
+
+def _shift(labels: dict[int, int], sample: int) -> float:
+    """Log of the odds of a toxic label among all ``labels`` (by class) over those in a sample of ``sample`` of either class at most."""
+    if len(labels) < 2:
+        return 0.0
+    clean, toxic = (labels[k] / max(1, min(labels[k], sample)) for k in (0, 1))
+    return math.log(toxic / clean)
 
 
 def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text", out: str = "score") -> DataFrame:
