@@ -32,9 +32,11 @@ FOREST_BYTES = 2 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content is skipped to the end tag without looking for markup.
-RAW = frozenset("script style textarea title noscript iframe xmp noframes".split())
+RAW = frozenset("script style textarea title iframe xmp noframes".split())
 #: Left out with all inside: no text of an article.
 SKIPPED = frozenset("script style textarea title noscript iframe xmp noframes head template svg math object select button audio video canvas datalist map".split())
+#: Start tags that may stand in a head; any other ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr caption ul".split())
 #: A start tag that ends an open element of these names.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tr"), "tfoot": ("tbody", "tr")}
@@ -86,9 +88,10 @@ class Page:
         return len(self.parent) - 1
 
     def _read(self, source: str) -> None:
-        # open elements: (name, block number or -1 if inline)
+        # open elements: (name, block number, or INLINE, LEFT_OUT, or INSIDE one that is left out)
+        INLINE, LEFT_OUT, INSIDE = -1, -2, -3
         stack: list[tuple[str, int]] = []
-        block, links, buffer = 0, 0, []
+        block, links, skipped, buffer = 0, 0, 0, []
 
         def flush() -> None:
             text = " ".join("".join(buffer).split())
@@ -98,17 +101,21 @@ class Page:
                 self.chars[block] += len(text)
 
         def pop_to(size: int) -> None:
-            nonlocal block, links
+            nonlocal block, links, skipped
             while len(stack) > size:
                 name, number = stack.pop()
                 if number >= 0:
                     flush()
                     block, links = self.parent[number], 0
-                elif name == "a":
+                elif number == LEFT_OUT:
+                    skipped -= 1
+                elif name == "a" and number == INLINE:
                     links = max(0, links - 1)
 
         def add(text: str) -> None:
-            if text:
+            if skipped and stack[-1][0] == "head" and text.strip():
+                pop_to(len(stack) - 1)  # text may not stand in a head
+            if text and not skipped:
                 text = html.unescape(text) if "&" in text else text
                 buffer.append(text)
                 if links:
@@ -133,15 +140,37 @@ class Page:
                         break
                 continue
             rest = m[3] or m[6] or ""
+            if skipped:
+                # what ends an element that is left out, besides its end tag and that of an element around it
+                for k in range(len(stack) - 1, -1, -1):
+                    open_, number = stack[k]
+                    if open_ == "foreignobject":
+                        break
+                    if number == LEFT_OUT and (open_ == "head" and (name == "body" or k == len(stack) - 1 and name not in IN_HEAD) or open_ == name and name in ("select", "button") or open_ in ("svg", "math") and name in BLOCKS):
+                        pop_to(k)
+                        break
+            if name in RAW or name in SKIPPED and not rest.endswith("/"):
+                if not skipped:
+                    if name in ("select", "button", "textarea"):
+                        self.controls[block] += 1
+                    buffer.append(" ")
+                if name in RAW:
+                    end = re.compile(rf"</{name}\s*>?", re.I).search(source, at)
+                    at = end.end() if end else size
+                    if end and source[at - 1] != ">":
+                        at = (source.find(">", at) + 1) or size
+                else:
+                    stack.append((name, LEFT_OUT))
+                    skipped += 1
+                continue
+            if skipped:
+                if name not in VOID and not rest.endswith("/"):
+                    stack.append((name, INSIDE))
+                continue
             if name in SKIPPED:
-                if name in ("select", "button", "textarea"):
+                if name in ("select", "button"):
                     self.controls[block] += 1
                 buffer.append(" ")
-                end = re.compile(rf"</{name}\s*>?" if name in RAW else rf"</{name}\s*>|<body\b" if name == "head" else rf"</{name}\s*>", re.I).search(source, at)
-                if not rest.endswith("/") or name in RAW:
-                    at = size if not end else end.start() if source[end.start() + 1] != "/" else end.end()
-                    if end and source[at - 1 : at] != ">" and source[end.start() + 1] == "/":
-                        at = (source.find(">", at) + 1) or size
                 continue
             if name in VOID:
                 if name == "hr":
@@ -167,7 +196,7 @@ class Page:
             else:
                 if name == "a":
                     links += 1
-                stack.append((name, -1))
+                stack.append((name, INLINE))
         pop_to(0)
         flush()
 
