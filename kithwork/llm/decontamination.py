@@ -16,7 +16,6 @@ rows, an empty benchmark no hits; only the id and text columns are read, whateve
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +39,7 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored index of ``docs``: one row a block of documents."""
+    """The stored index of ``docs``: one row a block of documents, with a number of its own (``block``)."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,7 +54,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=INDEX_SCHEMA.replace(" binary", "").split(", "))
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body"))
-    return stored(narrow.mapInArrow(blocks, INDEX_SCHEMA), "token-index")
+    return stored(narrow.mapInArrow(blocks, INDEX_SCHEMA).withColumn("block", F.monotonically_increasing_id()), "token-index")
 
 
 class Block:
@@ -192,10 +191,9 @@ def _pass(index: DataFrame, part, window: int) -> DataFrame:
                     for doc, p in zip(docs.tolist(), (at - block.starts[docs]).tolist(), strict=True):
                         spans[doc].add((p, p + int(size) - 1))
                         items[doc].add(names[item])
-                identity = int(hashlib.blake2b(b"".join(row[k] for k in ("doc_ids", "null_ids", "starts", "terms")), digest_size=8).hexdigest(), 16) - (1 << 63)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "block": [identity] * n,
+                        "block": [row["block"]] * n,
                         "doc": list(range(n)),
                         "doc_id": [None if gone else int(i) for i, gone in zip(block.doc_ids, block.null_ids, strict=True)],
                         "n_words": np.diff(block.starts).tolist(),
