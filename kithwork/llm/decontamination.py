@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 from kithwork.functions.storage import stored
 from kithwork.llm import words as W
 
+#: Words of a window of a benchmark item.
+WINDOW = 13
+#: Places that a search holds at once; the list of one term may be longer.
+CANDIDATES = 1 << 20
 #: Words of benchmark text that one pass broadcasts at most (24 bytes each); a single longer item goes alone.
 PART_WORDS = 2_000_000
 INDEX_SCHEMA = "doc_ids binary, null_ids binary, starts binary, terms binary, lists binary, positions binary"
@@ -83,17 +87,40 @@ class Block:
 
     def phrase(self, numbers: np.ndarray) -> np.ndarray:
         """Positions at which the terms ``numbers`` (of this block, none missing) follow each other in one document."""
+        return np.concatenate([at for _, at in self.phrases(numbers[None, :])])
+
+    def phrases(self, numbers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, position) of every place of the phrases ``numbers`` [row, term], CANDIDATES places at a time, about.
+
+        All phrases at once: each starts from its rarest term's list, moved by the term's offset, and keeps the places
+        that the other terms' lists have too, the rarer ones first. Lists lie behind each other by term, so one sorted
+        array of (term, position) serves to look in any of them.
+        """
+        n = len(self.positions)
         size = self.lists[numbers + 1] - self.lists[numbers]
-        order = np.argsort(size, kind="stable")
-        at = self.postings(numbers[order[0]]) - order[0]
-        for k in order[1:]:
-            if not len(at):
-                return at
-            more = self.postings(numbers[k]) - k
-            found = np.minimum(np.searchsorted(more, at), len(more) - 1)
-            at = at[more[found] == at]
-        at = at[at >= 0]
-        return at[self.document(at) == self.document(at + len(numbers) - 1)]
+        order = np.argsort(size, axis=1, kind="stable")
+        rows = np.arange(len(numbers))
+        rarest = numbers[rows, order[:, 0]]
+        count = size[rows, order[:, 0]]
+        listed = np.repeat(np.arange(len(self.terms), dtype=np.int64), np.diff(self.lists)) * n + self.positions
+        ahead = np.concatenate(([0], np.cumsum(count)))
+        first = 0
+        while first < len(rows):
+            end = max(first + 1, int(np.searchsorted(ahead, ahead[first] + CANDIDATES, "right")) - 1)
+            row = np.repeat(rows[first:end], count[first:end])
+            place = np.arange(len(row)) - (ahead[row] - ahead[first])
+            at = self.positions[self.lists[rarest[row]] + place].astype(np.int64) - order[row, 0]
+            inside = (at >= 0) & (at + numbers.shape[1] <= n)
+            row, at = row[inside], at[inside]
+            for k in range(1, numbers.shape[1]):
+                if not len(at):
+                    break
+                wanted = numbers[row, order[row, k]] * n + at + order[row, k]
+                has = listed[np.minimum(np.searchsorted(listed, wanted), n - 1)] == wanted
+                row, at = row[has], at[has]
+            whole = self.document(at) == self.document(at + numbers.shape[1] - 1)
+            yield row[whole], at[whole]
+            first = end
 
     def near(self, numbers: np.ndarray, width: int) -> np.ndarray:
         """Documents (numbers in the block) with all terms, in any order, inside ``width`` consecutive words."""
@@ -121,7 +148,7 @@ class Block:
 
 
 def _parts(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, np.ndarray]]]:
-    """(id, token hashes) of the items, in lists of at most PART_WORDS words; the driver holds one list at a time."""
+    """(id, token hashes) of the items, in lists of at most PART_WORDS words."""
     part: list[tuple[str, np.ndarray]] = []
     held = 0
     for row in items.select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
@@ -138,20 +165,31 @@ def _parts(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str
 
 
 HIT_SCHEMA = "block long, doc int, doc_id long, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
-
-
-def search(index: DataFrame, items: DataFrame, window: int = 13, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_words, n_hit, items (sorted ids of the items with a window that occurs), spans of words hit."""
-    spark = index.sparkSession
-    found = [_pass(index, spark.sparkContext.broadcast(part), window) for part in _parts(items, item_id, text)]
-    found = found or [_pass(index, spark.sparkContext.broadcast([]), window)]
-    if len(found) == 1:
-        rows = found[0]
-    else:
-        union = found[0]
-        for more in found[1:]:
-            union = union.unionByName(more)
-        rows = union.groupBy("block", "doc").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+HIT_ARROW = pa.schema([("block", pa.int64()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string()))])
+
+
+def search(index: DataFrame, items: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_words, n_hit, items (sorted ids of the items with a window that occurs), spans of words hit.
+
+    Of several passes each is written to the shared folder and its broadcast given up before the next one starts; only
+    the first has a row for every document, the others only for those that they hit.
+    """
+    context = index.sparkSession.sparkContext
+    parts = _parts(items, item_id, text)
+    part, following = next(parts, []), next(parts, None)
+    shared = context.broadcast(part)
+    rows = _pass(index, shared, window, True)
+    if following is not None:
+        found = None
+        while part is not None:
+            done = stored(rows, "hits")
+            shared.unpersist(blocking=True)
+            found = done if found is None else found.unionByName(done)
+            part, following = following, next(parts, None)
+            if part is not None:
+                shared = context.broadcast(part)
+                rows = _pass(index, shared, window, False)
+        rows = found.groupBy("block", "doc").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     # spans are few and short lists: they are merged in order
     ordered = F.array_sort("spans")
     zero = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n"))
@@ -172,7 +210,7 @@ def _windows(part: list[tuple[str, np.ndarray]], window: int) -> tuple[np.ndarra
     return np.concatenate([h for _, h in part]), np.stack([item, first, size[item]], 1)
 
 
-def _pass(index: DataFrame, part, window: int) -> DataFrame:
+def _pass(index: DataFrame, part, window: int, all_rows: bool) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [name for name, _ in part.value]
         joined, table = _windows(part.value, window)
@@ -185,22 +223,26 @@ def _pass(index: DataFrame, part, window: int) -> DataFrame:
                 numbers = block.find(joined)
                 # windows with a term that the block lacks are passed over at once
                 lacking = np.concatenate(([0], np.cumsum(numbers < 0)))
-                for item, first, size in table[lacking[table[:, 1] + table[:, 2]] == lacking[table[:, 1]]]:
-                    at = block.phrase(numbers[first : first + size])
-                    docs = block.document(at)
-                    for doc, p in zip(docs.tolist(), (at - block.starts[docs]).tolist(), strict=True):
-                        spans[doc].add((p, p + int(size) - 1))
-                        items[doc].add(names[item])
+                alive = table[lacking[table[:, 1] + table[:, 2]] == lacking[table[:, 1]]]
+                for size in np.unique(alive[:, 2]):
+                    own = alive[alive[:, 2] == size]
+                    for which, at in block.phrases(numbers[own[:, 1, None] + np.arange(size)]):
+                        docs = block.document(at)
+                        for doc, p, item in zip(docs.tolist(), (at - block.starts[docs]).tolist(), own[which, 0].tolist(), strict=True):
+                            spans[doc].add((p, p + int(size) - 1))
+                            items[doc].add(names[item])
+                told = range(n) if all_rows else [d for d in range(n) if spans[d]]
+                words = np.diff(block.starts).tolist()
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "block": [row["block"]] * n,
-                        "doc": list(range(n)),
-                        "doc_id": [None if gone else int(i) for i, gone in zip(block.doc_ids, block.null_ids, strict=True)],
-                        "n_words": np.diff(block.starts).tolist(),
-                        "spans": [[{"first": a, "last": b} for a, b in s] for s in spans],
-                        "items": [list(x) for x in items],
+                        "block": [row["block"]] * len(told),
+                        "doc": list(told),
+                        "doc_id": [None if block.null_ids[d] else int(block.doc_ids[d]) for d in told],
+                        "n_words": [words[d] for d in told],
+                        "spans": [[{"first": a, "last": b} for a, b in spans[d]] for d in told],
+                        "items": [list(items[d]) for d in told],
                     },
-                    schema=pa.schema([("block", pa.int64()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string()))]),
+                    schema=HIT_ARROW,
                 )
 
     return index.mapInArrow(look, HIT_SCHEMA)
@@ -229,7 +271,11 @@ def phrases(index: DataFrame, queries: list[str], width: int | None = None) -> D
     return index.mapInArrow(look, "query int, doc_id long").distinct()
 
 
+def holds_window(window: int = WINDOW, spans: str = "spans"):
+    """At least one whole window of ``window`` words is hit (an item of fewer words has none)."""
+    return F.exists(spans, lambda s: s["last"] - s["first"] + 1 >= window)
+
+
 def contaminated(n_hit="n_hit", n_words="n_words"):
     """At least one word hit, and hits make up a twentieth of all words or more."""
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
-

@@ -43,6 +43,16 @@ def decontaminate(docs, items, window=13):
     return out
 
 
+def holds_window(text, items, window=13):
+    """Whether a window of an item of at least that many words occurs in ``text``."""
+    grams = set()
+    for _, t in items:
+        w = TOKEN.findall(lower(t or ""))
+        grams |= {tuple(w[i : i + window]) for i in range(len(w) - window + 1)}
+    w = TOKEN.findall(lower(text or ""))
+    return any(tuple(w[i : i + window]) in grams for i in range(len(w) - window + 1))
+
+
 def drop_lines(docs, least=10):
     holders = defaultdict(set)
     key = lambda x: lower(x.strip("\x20\x09\x0a\x0b\x0c\x0d"))

@@ -25,10 +25,17 @@ def folder(spark, clashing, rows, tmp_path_factory):
     for c in own.columns:
         if c not in bad.columns:
             bad = bad.withColumn(c, F.lit("s1" if c == "source" else None).cast(own.schema[c].dataType))
-    own.unionByName(bad).write.parquet(f"{path}/documents.parquet")
+    plain = [" ".join(f"{c}{i}x{i * 7 % 11}" for i in range(900)) for c in "uvw"]
+    passage = texts[4].split()[10:23]
+    more = [(3000, f"{plain[0]} {' '.join(passage)} end"), (3001, f"start {plain[1]} {' '.join(passage[:12])}"), (3002, f"other rareword {plain[2]}")]
+    more = spark.createDataFrame(more, "doc_id long, text string")
+    for c in own.columns:
+        if c not in more.columns:
+            more = more.withColumn(c, F.lit("s1" if c == "source" else None).cast(own.schema[c].dataType))
+    own.unionByName(bad).unionByName(more).write.parquet(f"{path}/documents.parquet")
     labels = [(r[0], 1, 0) for r in rows if r[0] is not None] + [(5000 + i, 1, 1) for i in range(60)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
-    spark.createDataFrame([(1, " ".join(texts[4].split()[2:45])), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(1, " ".join(texts[4].split()[2:45])), (2, None), (3, "rareword")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
@@ -62,8 +69,14 @@ def test_stages(spark, folder):
             assert len(full) == len(groups) and {x for x in before if not brute.shingles(x[1])} == {x for x in now if not brute.shingles(x[1])}
         elif name == "decontamination":
             items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
-            bad = {x for x, (_, n, h, _) in zip(before, brute.decontaminate(before, items), strict=True) if h and 20 * h >= n}
-            assert bad and sorted(now, key=key) == sorted((x for x in before if x not in bad), key=key)
+            counted = list(zip(before, brute.decontaminate(before, items), strict=True))
+            windows = {x for x in before if brute.holds_window(x[1], items)}
+            bad = windows | {x for x, (_, n, h, _) in counted if h and 20 * h >= n}
+            assert sorted(now, key=key) == sorted((x for x in before if x not in bad), key=key)
+            assert not any(brute.holds_window(t, items) for _, t in now)
+            # a window is enough in a long document, a short item is not, and clean documents stay
+            assert {d for d, _ in windows} >= {3000} and {d for d, _ in now} >= {3001, 3002}
+            assert all(x in now for x, (_, _, h, _) in counted if not h)
         elif name == "mixing":
             keyed = corpus_pipeline._keyed(docs)
             taken, _ = mixing.mix(keyed, doc_id=corpus_pipeline.KEY)
