@@ -32,8 +32,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return lines.drop_repeated_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
-"""Blocks of the benchmark index with equal contents stay apart when several passes are merged."""
+"""Equal rows: blocks of the benchmark index with equal contents, lines that many documents share."""
 
-from kithwork.llm import decontamination
+import numpy as np
+
+from kithwork.llm import decontamination, lines
 
 from . import brute
 from .conftest import listed, same
@@ -13,3 +15,22 @@ def test_a_file_appended_twice_keeps_all_rows(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "PART_WORDS", 2)
     found = decontamination.search(decontamination.build_index(once.unionByName(once)), spark.createDataFrame(items, "item_id long, text string"))
     assert same(listed(found, "doc_id", "n_words", "n_hit", "items"), brute.decontaminate(own + own, items))
+
+
+def test_line_index_holds_real_counts_and_answers_from_many_copies(spark, monkeypatch):
+    own = [(i % 40 if i % 7 else None, f"shared line number one\nown line {i:05d} of it\n  Shared LINE number one\t") for i in range(600)]
+    own += [(None, "shared line number one\ntwice and twice again")] * 300 + [(77, "")]
+    docs = spark.createDataFrame(own, "doc_id long, text string").repartition(6)
+    keys = lines.line_keys(docs)
+    index, _ = lines.build_index(keys)
+    h = keys.groupBy("h", "print").count().collect()
+    shard = [lines.Shard(*r[2:]) for r in index.collect()]
+    assert len(shard) == 1
+    for hashed, mark, n in h:
+        at = shard[0].look(np.array([hashed], np.int64).view(np.uint64), np.array([mark], np.int32).view(np.uint32))
+        assert shard[0].counts[at[0]] == n
+    assert max(n for _, _, n in h) == 1500
+    monkeypatch.setattr(lines, "SHARD_KEYS", 50)
+    monkeypatch.setattr(lines, "COPY_PROBES", 40)
+    got = lines.drop_repeated_lines(docs, with_text=False)
+    assert same(listed(got, "doc_id", "n_lines", "n_dropped", "kept_sha256"), brute.drop_lines(own))
