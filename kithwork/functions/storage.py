@@ -7,23 +7,39 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_runs: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where the setting is absent (tests, one machine)."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one of this machine if Spark runs on it alone, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kithwork-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder inside the shared one; it is deleted when the application ends."""
+    name = f"{shared_folder(spark)}/kithwork-{spark.sparkContext.applicationId}"
+    if _runs.get(spark.sparkContext.applicationId) != name:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _runs[spark.sparkContext.applicationId] = name
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_path = path

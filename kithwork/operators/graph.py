@@ -51,6 +51,47 @@ def distances(edges: DataFrame, sources: DataFrame, max_depth: int | None = None
     return frontier(edges, sources, max_depth)
 
 
+class Hops:
+    """Hops between given pairs over one graph of symmetric ``edges`` (src, dst, weight), asked for as often as need be."""
+
+    def __init__(self, edges: DataFrame, method: str = "auto"):
+        self.shared = kernel.load(edges) if method != "frontier" else None
+        if self.shared is None:
+            if method == "kernel":
+                raise ValueError(f"more than {kernel.MAX_EDGES} edges: use the frontier")
+            self.edges = stored(edges.select("src", "dst", "weight"), "weighted")
+
+    def between(self, asked: DataFrame) -> DataFrame:
+        """``asked`` (src, dst, least, depth) -> (src, dst, least, dist) where dst is within ``depth`` hops (null: any) over edges of a weight above ``least``."""
+        return kernel.hops(self.shared, asked) if self.shared is not None else self._by_levels(asked)
+
+    def _by_levels(self, asked: DataFrame) -> DataFrame:
+        """A level at a time; sources whose goals are all met, or too far off, go no further."""
+        left = stored(asked.select(*(F.col(c).cast("long") for c in ("src", "dst", "least", "depth"))).distinct(), "asked")
+        found = left.filter("src = dst").select("src", "dst", "least", F.lit(0).cast("long").alias("dist"))
+        left = left.filter("src <> dst")
+        level = stored(left.select("least", "src", F.col("src").alias("node")).distinct(), "level")
+        levels, d = [level], 0
+        steps = self.edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "weight")
+        while True:
+            d += 1
+            if d > MAX_LEVELS:
+                raise RuntimeError(f"more than {MAX_LEVELS} levels")
+            left = left.filter(F.col("depth").isNull() | (F.col("depth") >= d))
+            active = left.select("least", "src").distinct()
+            step = level.join(active, ["least", "src"], "left_semi").join(steps, "node").filter("weight > least").select("least", "src", F.col("next").alias("node")).distinct()
+            for old in levels[-2:]:
+                step = step.join(old, ["least", "src", "node"], "left_anti")
+            level = stored(step, "level")
+            if level.isEmpty():
+                break
+            levels.append(level)
+            met = stored(left.join(level.withColumnRenamed("node", "dst"), ["least", "src", "dst"], "left_semi").select("src", "dst", "least", F.lit(d).cast("long").alias("dist")), "met")
+            found = found.unionByName(met)
+            left = stored(left.join(met, ["src", "dst", "least"], "left_anti"), "asked")
+        return found
+
+
 def neighbors_1hop(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(src, node) next to each of ``sources`` (src)."""
     return edges.join(sources.select("src").distinct(), "src", "left_semi").select("src", F.col("dst").alias("node")).distinct()
@@ -86,6 +127,6 @@ def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def sampled(members: DataFrame, share: float, seed: int) -> DataFrame:
-    """(src): members chosen by a hash of id and seed, the same on every run."""
-    unit = F.pmod(F.xxhash64("person_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    """(src): members chosen by a multiplicative hash of id and seed, the same on every run and in any SQL."""
+    unit = F.pmod(F.pmod("person_id", F.lit(1 << 16)) * 40503 + F.lit(seed * 9973), F.lit(1 << 16)) / float(1 << 16)
     return members.filter(unit < share).select(F.col("person_id").alias("src"))

@@ -58,20 +58,28 @@ def collect(edges: DataFrame) -> Graph:
     return Graph(table.column(0).to_numpy(), table.column(1).to_numpy())
 
 
-def _chunked(sources: DataFrame, graph: Graph) -> tuple[DataFrame, int]:
-    """Sources dealt to tasks; a chunk is as wide as its levels allow."""
-    words = int(max(1, min(16, LEVEL_BYTES // (8 * max(1, len(graph.next))))))
-    return sources.select(F.col("src").cast("long")).distinct(), words * 64
+def _width(graph: Graph) -> int:
+    """Sources of a chunk: as many as its levels allow."""
+    return 64 * int(max(1, min(16, LEVEL_BYTES // (8 * max(1, len(graph.next))))))
+
+
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` dealt by ``columns`` to all cores: they are few and short, but each means work."""
+    return rows.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism), *columns)
 
 
 def distances(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, keep: str = "all") -> DataFrame:
     """(src, node, dist) from ``sources`` (src) within ``max_depth`` hops, the source itself at 0.
 
-    ``keep``: ``all`` pairs, those with a ``source`` as node, or ``pairs`` of two sources with src < node.
+    ``keep``: ``all`` pairs, or ``pairs`` of two sources with src < node.
     """
     graph = collect(edges)
-    rows, width = _chunked(sources, graph)
-    wanted = np.array([r[0] for r in rows.limit(len(graph.ids) + 1).collect() if r[0] is not None], np.int64) if keep != "all" else None
+    rows, width = sources.select(F.col("src").cast("long")).distinct(), _width(graph)
+    wanted = None
+    if keep == "pairs":
+        # a source that is no vertex is in no pair; what is left is at most the vertices of the graph
+        rows = rows.join(edges.select("src"), "src", "left_semi")
+        wanted = rows.toArrow().column(0).to_numpy()
     shared = edges.sparkSession.sparkContext.broadcast((graph, wanted))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,13 +103,79 @@ def distances(edges: DataFrame, sources: DataFrame, max_depth: int | None = None
             if len(lonely) and keep != "pairs":
                 yield pa.RecordBatch.from_arrays([pa.array(lonely), pa.array(lonely), pa.array(np.zeros(len(lonely), np.int64))], names=["src", "node", "dist"])
 
-    return rows.repartition("src").mapInArrow(work, "src long, node long, dist long")
+    return _dealt(rows, "src").mapInArrow(work, "src long, node long, dist long")
+
+
+class Weighted:
+    """A graph with weights, of which the part above a threshold can be had without sorting again."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray):
+        self.ids, codes = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        order = np.argsort(codes[: len(src)], kind="stable")
+        self.start, self.next, self.weight = codes[: len(src)][order].astype(np.int32), codes[len(src) :][order].astype(np.int32), weight[order]
+
+    def above(self, least: int) -> Graph:
+        kept = self.weight > least
+        graph = Graph.__new__(Graph)
+        start = self.start[kept]
+        graph.ids, graph.next = self.ids, self.next[kept]
+        graph.firsts = np.flatnonzero(np.concatenate(([True], start[1:] != start[:-1]))) if len(start) else np.zeros(0, np.int64)
+        graph.heads = start[graph.firsts]
+        return graph
+
+
+def load(edges: DataFrame):
+    """Symmetric ``edges`` (src, dst, weight) as a broadcast Weighted, None if there are more than MAX_EDGES."""
+    table = edges.select("src", "dst", "weight").limit(MAX_EDGES + 1).toArrow()
+    if table.num_rows > MAX_EDGES:
+        return None
+    return edges.sparkSession.sparkContext.broadcast(Weighted(*(table.column(i).to_numpy() for i in range(3))))
+
+
+def hops(shared, asked: DataFrame) -> DataFrame:
+    """``asked`` (src, dst, least, depth) with ``dist`` where dst is within ``depth`` hops (null: any) of src over edges of a weight above ``least``.
+
+    Only what is asked for leaves a task, and a chunk of sources stops at the level that met the last of its goals.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).fill_null(-1).to_numpy()] for b in batches if b.num_rows]
+        if not held:
+            return
+        src, dst, least, depth = (np.concatenate(x) for x in zip(*held, strict=True))
+        whole = shared.value
+        for limit, far in np.unique(np.stack([least, depth], 1), axis=0).tolist():
+            graph = whole.above(limit)
+            width = _width(graph)
+            own = np.flatnonzero((least == limit) & (depth == far))
+            own = own[np.argsort(src[own], kind="stable")]
+            sources, place = np.unique(src[own], return_inverse=True)
+            for low in range(0, len(sources), width):
+                some = own[(place >= low) & (place < low + width)]
+                bit = place[(place >= low) & (place < low + width)] - low
+                at = np.searchsorted(graph.ids, dst[some])
+                open_ = np.flatnonzero((at < len(graph.ids)) & (graph.ids[np.minimum(at, max(len(graph.ids) - 1, 0))] == dst[some])) if len(graph.ids) else np.zeros(0, np.int64)
+                if not len(open_):
+                    continue
+                found = np.full(len(some), -1, np.int64)
+                for d, fresh in graph.levels(sources[low : low + width], None if far < 0 else far):
+                    met = (fresh[at[open_], bit[open_] >> 6] >> (bit[open_] & 63).astype(np.uint64)) & np.uint64(1) == 1
+                    found[open_[met]] = d
+                    open_ = open_[~met]
+                    if not len(open_):
+                        break
+                hit = np.flatnonzero(found >= 0)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(src[some[hit]]), pa.array(dst[some[hit]]), pa.array(np.full(len(hit), limit, np.int64)), pa.array(found[hit])], names=["src", "dst", "least", "dist"])
+
+    rows = asked.select(*(F.col(c).cast("long") for c in ("src", "dst", "least", "depth"))).filter("src IS NOT NULL AND dst IS NOT NULL")
+    return _dealt(rows, "least", "src").mapInArrow(work, "src long, dst long, least long, dist long")
 
 
 def histogram(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, dist, n): how many of ``sources`` (src) lie at each distance of 1 or more from each node of the graph."""
     graph = collect(edges)
-    rows, width = _chunked(sources, graph)
+    rows, width = sources.select(F.col("src").cast("long")).distinct(), _width(graph)
     shared = edges.sparkSession.sparkContext.broadcast(graph)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,5 +189,42 @@ def histogram(edges: DataFrame, sources: DataFrame, max_depth: int | None = None
                 if d and len(hit):
                     yield pa.RecordBatch.from_arrays([pa.array(own.ids[hit]), pa.array(np.full(len(hit), d, np.int64)), pa.array(n[hit])], names=["node", "dist", "n"])
 
-    parts = rows.repartition("src").mapInArrow(work, "node long, dist long, n long")
+    parts = _dealt(rows, "src").mapInArrow(work, "node long, dist long, n long")
     return parts.groupBy("node", "dist").agg(F.sum("n").alias("n"))
+
+
+def group_sums(edges: DataFrame) -> DataFrame | None:
+    """(name, node, r, s) of every vertex of each named graph in ``edges`` (name, src, dst): vertices reached and the sum of their distances.
+
+    All graphs are collected at once (None beyond MAX_EDGES in all); a task takes chunks of one graph's vertices.
+    """
+    table = edges.select("name", "src", "dst").limit(MAX_EDGES + 1).toArrow()
+    if table.num_rows > MAX_EDGES:
+        return None
+    spark = edges.sparkSession
+    code = table.column(0).combine_chunks().dictionary_encode()
+    names, number = code.dictionary.to_pylist(), code.indices.to_numpy(zero_copy_only=False)
+    src, dst = table.column(1).to_numpy(), table.column(2).to_numpy()
+    graphs = [Graph(src[number == i], dst[number == i]) for i in range(len(names))]
+    chunks = [(i, low) for i, g in enumerate(graphs) for low in range(0, len(g.ids), _width(g))]
+    schema = "name string, node long, r long, s long"
+    if not chunks:
+        return spark.createDataFrame([], schema)
+    shared = spark.sparkContext.broadcast((names, graphs))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, graphs = shared.value
+        for batch in batches:
+            for i, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = graphs[i]
+                r, s = np.zeros(len(own.ids), np.int64), np.zeros(len(own.ids), np.int64)
+                for d, fresh in own.levels(own.ids[low : low + _width(own)], None):
+                    if d:
+                        n = np.bitwise_count(fresh).sum(1, dtype=np.int64)
+                        r += n
+                        s += n * d
+                hit = np.flatnonzero(r)
+                yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(hit), pa.string()), pa.array(own.ids[hit]), pa.array(r[hit]), pa.array(s[hit])], names=["name", "node", "r", "s"])
+
+    rows = spark.createDataFrame(chunks, "graph int, low long")
+    return _dealt(rows, "graph", "low").mapInArrow(work, schema).groupBy("name", "node").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithwork.functions.storage import stored
+from kithwork.functions.storage import run_folder, stored
 from kithwork.operators import closeness, graph, people, tag_communities, weights
 from kithwork.operators.components import components
 from kithwork.plans import batch, formats
 from kithwork.plans import queries as plans
-from kithwork.sources import projection, query_file
+from kithwork.sources import delimited, projection, query_file
 
 # The parameters of the registered queries; oracle.py has the same.
 PATHS = [(1, 2), (1, 9), (3, 14), (5, 8), (2, 13), (7, 7), (4, 11), (6, 10), (12, 1), (0, 3), (9, 5), (8, 999999), (999999, 999999)]
@@ -28,6 +29,7 @@ PLACE = "NATION_3"
 SOURCES = [1, 2, 5]
 DAY = "2001-01-01"
 NAME = "red rod"
+SHARE, SEED = 0.5, 7
 
 
 class Context:
@@ -131,6 +133,23 @@ def _pairs_within_h(c: Context) -> DataFrame:
     return out
 
 
+def _pairs_within_sparse(c: Context) -> DataFrame:
+    """Most persons of the place have no part in this graph."""
+    edges = stored(weights.above(c.weight, 0), "sparse")
+    out = None
+    for h in (1, 2, 3):
+        part = graph.pairs_within(edges, c.place_persons, h).select(F.lit(h).cast("long").alias("h"), "p1", "p2")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _from_files(c: Context) -> DataFrame:
+    """The same batch, with the network written to ``|``-separated files and read again."""
+    folder = f"{run_folder(c.spark)}/network-{uuid.uuid4().hex}"
+    delimited.save(c.net, folder)
+    return batch.answer(delimited.load(c.spark, folder), _parsed(c), c.users[2])
+
+
 def _hops(c: Context, depth: int) -> DataFrame:
     return graph.distances(c.knows, c.sources, depth).select("src", F.col("node").alias("person_id"), "dist")
 
@@ -152,7 +171,7 @@ def _theta_pairs(c: Context) -> DataFrame:
 
 
 def _approximate(c: Context) -> DataFrame:
-    return closeness.approximate_sums(c.community, c.members, 0.5, seed=7)
+    return closeness.approximate_sums(c.community, c.members, SHARE, SEED)
 
 
 OPERATORS: dict[str, Callable[[Context], DataFrame]] = {
@@ -208,6 +227,7 @@ OPERATORS: dict[str, Callable[[Context], DataFrame]] = {
     "k_hop_neighborhood": lambda c: _hops(c, 2),
     "exact_k_hop_ring": lambda c: _hops(c, 3).filter("dist = 3").select("src", "person_id"),
     "pairs_within_h": _pairs_within_h,
+    "pairs_within_h_sparse": _pairs_within_sparse,
     "all_pairs_distance": lambda c: graph.distances(c.community, c.members.withColumnRenamed("person_id", "src")),
     "distance_sum": lambda c: closeness.closeness(c.community, c.members).select("person_id", "s"),
     "distance_histogram": _histogram,
@@ -215,6 +235,7 @@ OPERATORS: dict[str, Callable[[Context], DataFrame]] = {
     "reachable_count": lambda c: closeness.reachable(c.community, c.members),
     "component_eccentricity": lambda c: closeness.eccentricity(c.community, c.members),
     "closeness_upper_bound": lambda c: closeness.upper_bound(c.community, c.members, 2),
+    "closeness_upper_bound_3": lambda c: closeness.upper_bound(c.community, c.members, 3),
     "place_closure": lambda c: people.place_closure(c.net.place, c.net.place_part_of),
     "tag_max_component": lambda c: tag_communities.max_component_by_joins(c.tag_edges, c.net.interest, c.net.person, DAY),
     "tag_component_steps": lambda c: tag_communities.component_steps(c.tag_edges, c.net.interest, c.net.person),
@@ -235,6 +256,7 @@ OPERATORS: dict[str, Callable[[Context], DataFrame]] = {
     "export_dot": lambda c: formats.dot(c.community),
     "parse_queries": _parse_queries,
     "batch_mixed": lambda c: batch.answer(c.net, _parsed(c), c.users[2]),
+    "batch_from_files": _from_files,
     # estimates
     "approx_distance_sum": _approximate,
     "estimate_error": lambda c: closeness.estimate_error(_approximate(c), closeness.closeness(c.community, c.members)),

@@ -114,6 +114,38 @@ ARGS = (
     + [(4, i, f"{k},{t}") for i, (k, t) in enumerate(c.TOP_CENTRAL)]
 )
 
+
+def _bound(levels: int) -> str:
+    return (
+        SUMS
+        + f", low AS (SELECT m.person_id, m.r, CAST(coalesce(k.known, 0) + (m.r - coalesce(k.met, 0)) * {levels + 1} AS BIGINT) AS s FROM sums m LEFT JOIN (SELECT node, count(*) AS met, sum(dist) AS known FROM reach WHERE dist BETWEEN 1 AND {levels} GROUP BY node) k ON k.node = m.person_id)"
+        + f" SELECT person_id, s AS s_low, {CENTRALITY} AS bound FROM low, size"
+    )
+
+
+def _within(persons: str, edges: str) -> str:
+    """Pairs of ``persons`` within 1, 2 and 3 hops over ``edges`` (src, dst)."""
+    return _reach("reach", f"SELECT person_id AS src FROM ({persons})", edges, 3) + f" SELECT h.h, src AS p1, node AS p2 FROM reach JOIN (SELECT unnest([1, 2, 3])::BIGINT AS h) h ON dist <= h.h WHERE src < node AND node IN (SELECT person_id FROM ({persons}))"
+
+
+IN_PLACE = f"SELECT person_id FROM in_place WHERE name = '{c.PLACE}'"
+#: Best day from which two members of a tag hang together: the latest of the earliest days on any way between them.
+STEPS = (
+    ", both_ways AS (SELECT tag_id, src, dst, day FROM tag_edge UNION ALL SELECT tag_id, dst, src, day FROM tag_edge)"
+    ", ways AS (SELECT tag_id, src AS root, dst AS node, day FROM both_ways UNION SELECT w.tag_id, w.root, e.dst, least(w.day, e.day) FROM ways w JOIN both_ways e ON e.tag_id = w.tag_id AND e.src = w.node)"
+    ", best AS (SELECT tag_id, root, node, max(day) AS day FROM ways WHERE root <> node GROUP BY tag_id, root, node)"
+    ", grown AS (SELECT tag_id, day, count(*) OVER (PARTITION BY tag_id, root ORDER BY day DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1 AS n FROM best UNION ALL SELECT i.tag_id, p.birthday, 1 FROM interest i JOIN person p ON p.person_id = i.person_id)"
+    ", daily AS (SELECT tag_id, day, max(n) AS n FROM grown GROUP BY tag_id, day)"
+    ", compared AS (SELECT tag_id, day, n, max(n) OVER (PARTITION BY tag_id ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM daily)"
+    " SELECT tag_id, day AS step_date, CAST(n AS BIGINT) AS max_size FROM compared WHERE before IS NULL OR n > before"
+)
+ESTIMATE = (
+    SUMS
+    + f", chosen AS (SELECT person_id FROM member WHERE ((person_id % 65536 + 65536) % 65536 * 40503 + {c.SEED} * 9973) % 65536 / 65536.0 < {c.SHARE})"
+    + ", seen AS (SELECT node, count(*) AS met, sum(dist) AS known FROM reach WHERE dist > 0 AND src IN (SELECT person_id FROM chosen) GROUP BY node)"
+    + ", estimate AS (SELECT s.person_id, s.r, s.s, CASE WHEN e.met > 0 THEN CAST(e.known * s.r AS DOUBLE) / CAST(e.met AS DOUBLE) END AS s_estimate FROM sums s LEFT JOIN seen e ON e.node = s.person_id)"
+)
+
 BODIES = {
     "scan_person": "SELECT * FROM person",
     "scan_knows": "SELECT * FROM knows",
@@ -161,19 +193,21 @@ BODIES = {
     "place_person_distinct": "SELECT * FROM person_place",
     "k_hop_neighborhood": _reach("reach", SOURCES, "SELECT * FROM knows", 2) + " SELECT src, node AS person_id, dist FROM reach",
     "exact_k_hop_ring": _reach("reach", SOURCES, "SELECT * FROM knows", 3) + " SELECT src, node AS person_id FROM reach WHERE dist = 3",
-    "pairs_within_h": _reach("reach", f"SELECT person_id AS src FROM in_place WHERE name = '{c.PLACE}'", "SELECT * FROM knows", 3)
-    + f" SELECT h.h, src AS p1, node AS p2 FROM reach JOIN (SELECT unnest([1, 2, 3])::BIGINT AS h) h ON dist <= h.h WHERE src < node AND node IN (SELECT person_id FROM in_place WHERE name = '{c.PLACE}')",
+    "pairs_within_h": _within(IN_PLACE, "SELECT * FROM knows"),
+    "pairs_within_h_sparse": _within(IN_PLACE, "SELECT src, dst FROM u_weight WHERE weight > 0"),
     "all_pairs_distance": COMMUNITY_REACH + " SELECT * FROM reach",
     "distance_sum": SUMS + " SELECT person_id, s FROM sums",
     "distance_histogram": COMMUNITY_REACH + " SELECT node AS person_id, dist, count(*) AS n FROM reach WHERE dist > 0 GROUP BY node, dist",
     "connected_components": _reach("reach", "SELECT DISTINCT src FROM u_weight WHERE weight > 1", "SELECT src, dst FROM u_weight WHERE weight > 1", 30) + " SELECT node, min(src) AS component FROM reach GROUP BY node",
     "reachable_count": SUMS + " SELECT person_id, r FROM sums",
     "component_eccentricity": COMMUNITY_REACH + " SELECT node AS person_id, max(dist) AS eccentricity FROM reach GROUP BY node",
-    "closeness_upper_bound": SUMS
-    + ", low AS (SELECT m.person_id, m.r, CAST(coalesce(k.known, 0) + (m.r - coalesce(k.met, 0)) * 3 AS BIGINT) AS s FROM sums m LEFT JOIN (SELECT node, count(*) AS met, sum(dist) AS known FROM reach WHERE dist BETWEEN 1 AND 2 GROUP BY node) k ON k.node = m.person_id)"
-    + f" SELECT person_id, s AS s_low, {CENTRALITY} AS bound FROM low, size",
+    "closeness_upper_bound": _bound(2),
+    "closeness_upper_bound_3": _bound(3),
     "place_closure": "SELECT * FROM closure",
     "tag_max_component": _q2([(1, c.DAY)]) + " SELECT tag_id, CAST(size AS BIGINT) AS size FROM sized",
+    "tag_component_steps": STEPS,
+    "approx_distance_sum": ESTIMATE + " SELECT person_id, r, s_estimate FROM estimate",
+    "estimate_error": ESTIMATE + " SELECT count(*) AS n, round(avg(abs(s_estimate - s) / s), 9) AS error FROM estimate WHERE s > 0 AND s_estimate IS NOT NULL",
     "q1_shortest_path": Q1 + " SELECT * FROM a1",
     "q2_topk_tags": _q2(c.TOP_TAGS) + " SELECT * FROM a2",
     "q2_topk_tags_zero_fill": _q2(c.ZERO_TAGS) + " SELECT * FROM a2",
@@ -193,5 +227,5 @@ BODIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    """Seeded estimates and the steps of all tags (too slow in SQL on whole tables) have none; tests compare those with brute force."""
-    return {name: PREFIX + body for name, body in BODIES.items()}
+    bodies = BODIES | {"batch_from_files": BODIES["batch_mixed"]}
+    return {name: PREFIX + body for name, body in bodies.items()}

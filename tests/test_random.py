@@ -7,6 +7,8 @@ import pytest
 
 from kithwork.operators import closeness, graph, kernel, tag_communities
 from kithwork.plans import queries
+from kithwork.sources import projection
+from kithwork.sources.tables import Network
 
 
 def bfs(adj, s):
@@ -113,6 +115,59 @@ def test_tag_steps_against_brute_force(spark):
             assert got == want
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pairs_within_with_persons_outside_the_graph(spark, seed):
+    """Far more persons than vertices: both methods find the same pairs."""
+    adj, weight = network(seed, 60, 12)
+    edges = spark.createDataFrame([(a, b) for a, b in weight], "src long, dst long")
+    persons = spark.createDataFrame([(i,) for i in range(200)], "person_id long")
+    for h in (1, 2, 3):
+        want = {(a, b) for a in adj for b, d in bfs(adj, a).items() if a < b and d <= h}
+        for method in ("kernel", "frontier"):
+            assert {tuple(r) for r in graph.pairs_within(edges, persons, h, method).collect()} == want, (h, method)
+
+
+def test_best_pairs_against_all_pairs(spark):
+    """Passes over rare tags find what counting all pairs finds, for any k, with a tag that nearly all have."""
+    rng = random.Random(12)
+    adj, weight = network(12, 50, 70)
+    tags = {(v, t) for v in range(50) for t in range(12) if rng.random() < (0.9 if t == 0 else 0.25)}
+    frame = spark.createDataFrame
+    table = lambda rows, schema: frame(sorted(rows), schema)
+    none = frame([], "a long, b long")
+    net = Network(
+        person=table({(v,) for v in range(50)}, "person_id long").selectExpr("person_id", "DATE '2000-01-01' AS birthday"),
+        knows=table(set(weight), "src long, dst long"), comment_creator=none, reply=none, tag=none, interest=table(tags, "person_id long, tag_id long"), forum_tag=none, forum_member=none,
+        place=frame([(1, "here"), (2, "there")], "place_id long, name string"), place_part_of=frame([], "child long, parent long"),
+        located_in=table({(v, 1) for v in range(50) if v % 5} | {(v, 2) for v in range(0, 50, 3)}, "person_id long, place_id long"),
+        org_place=frame([], "org_id long, place_id long"), study_work=frame([], "person_id long, org_id long"),
+    )
+    asked = [(i, k, h, p) for i, (k, h, p) in enumerate((k, h, p) for k in (1, 7, 5000) for h in (0, 1, 2, 3) for p in ("here", "there", "nowhere"))]
+    params = frame(asked, "qid long, k long, h long, place string")
+    own = {v: {t for w, t in tags if w == v} for v in range(50)}
+    for method in ("kernel", "frontier"):
+        got = sorted(map(tuple, queries.top_pairs(params, net, method).collect()))
+        want = []
+        for qid, k, h, place in asked:
+            persons = [v for v in range(50) if (place == "here" and v % 5) or (place == "there" and v % 3 == 0)]
+            pairs = [(-len(own[a] & own[b]), a, b) for a in persons for b, d in bfs(adj, a).items() if a < b and b in persons and d <= h]
+            want += [(qid, i + 1, a, b, -n) for i, (n, a, b) in enumerate(sorted(pairs)[:k])]
+        assert got == sorted(want), method
+
+
+def test_previous_in_group_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(i, f"2024-01-{rng.randrange(1, 29):02d} {rng.randrange(24):02d}:00:{rng.randrange(60):02d}" if i % 50 else None, rng.choice("aab")) for i in range(400)]
+    frame = spark.createDataFrame(rows, "event_id long, t string, event_type string").selectExpr("event_id", "CAST(t AS TIMESTAMP_NTZ) AS ts", "event_type")
+    for width in (1, 16, 1 << 16):
+        got = {r["event_id"]: r["before"] for r in projection.previous_in_group(frame, "event_type", "ts", "event_id", "before", width).collect()}
+        want = {}
+        for kind in "ab":
+            order = sorted((t or "", i) for i, t, k in rows if k == kind)
+            want |= {i: (order[n - 1][1] if n else None) for n, (_, i) in enumerate(order)}
+        assert got == want
+
+
 def test_hops_grow_with_h(spark):
     _, weight = network(11)
     edges = spark.createDataFrame([(a, b) for a, b in weight], "src long, dst long")
