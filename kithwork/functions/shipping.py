@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -20,15 +22,16 @@ def ship(spark: SparkSession, *modules: str) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "kithwork_modules.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
-            for at, _, files in os.walk(os.path.join(ROOT, "kithwork")):
-                for name in files:
-                    if name.endswith(".py"):
-                        archive.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), ROOT))
-            for name in modules:
-                if os.path.exists(os.path.join(ROOT, name)):
-                    archive.write(os.path.join(ROOT, name), name)
-        context.addPyFile(path)  # copied to the application's own files
+    folder = tempfile.mkdtemp(prefix="kithwork-modules-")  # the driver serves the archive from here as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "kithwork_modules.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for at, _, files in os.walk(os.path.join(ROOT, "kithwork")):
+            for name in files:
+                if name.endswith(".py"):
+                    archive.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), ROOT))
+        for name in modules:
+            if os.path.exists(os.path.join(ROOT, name)):
+                archive.write(os.path.join(ROOT, name), name)
+    context.addPyFile(path)
     _shipped.add(context.applicationId)
