@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 #: Labelled documents of either class that the model is fitted on, at most.
 SAMPLE = 2500
-#: Characters of a labelled text that count towards the sample's bound; whole texts are used, the sample stops before it is passed.
+#: Characters of a labelled text that count towards the sample's bound; whole texts are used, those that would pass it are left out, but for one of a class that had none.
 SAMPLE_CHARS = 12_000_000
 THRESHOLD = 0.3
 SHORTEST, LONGEST = 4, 14
@@ -229,12 +229,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = rows.groupBy("id", "y").agg(F.min("body").alias("body"))
     counts = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}
     texts, toxic, held = [], [], 0
+    too_long: dict[int, str] = {}
     for r in rows.orderBy(F.xxhash64("id"), "id").toLocalIterator():
+        if held + len(r["body"] or "") > SAMPLE_CHARS:
+            too_long.setdefault(r["y"], r["body"])
+            continue
         held += len(r["body"] or "")
-        if held > SAMPLE_CHARS and texts:
-            break
         texts.append(r["body"] or "")
         toxic.append(r["y"])
+    for y, body in too_long.items():
+        if y not in toxic:  # a class is never lost to the bound
+            texts.append(body)
+            toxic.append(y)
     return train(texts, toxic, shift=_shift(counts, sample))
 
 
