@@ -3,11 +3,15 @@
 1. Every document's set of SHINGLE-word sequences (white-space words, unchanged) gets MinHash values, grouped into
    bands. ``bands_for`` chooses the number of bands so that a pair at the threshold shares a band with the target
    recall. Documents with equal sets are one class at once, so copies are never joined with each other.
-2. Classes are shuffled on band hashes. Every bucket yields a star (least class to each other one), never all pairs;
-   stars that touch form a candidate family.
-3. Families are verified on full sets, a block of at most some BLOCK classes against another at a time: a task holds
-   two blocks and counts common shingles by a matrix product, so every pair in a family is decided exactly while only
-   counts of links and a spanning forest leave the task. A family of any size is split over tasks.
+2. Classes are shuffled on band hashes. In every bucket the least class is the hub and is compared with the others on
+   full sets, never all with all. Distances of sets obey the triangle inequality: what is linked to a class that is
+   linked to the hub lies within twice the distance of a link. So classes within that are joined to the hub's family,
+   classes linked to the hub are done with this bucket, and the others try again without it. After HUB_ROUNDS rounds the
+   few buckets left are joined unseen. Chance collisions of unlike texts thus do not make families.
+3. Families are verified on full sets, a block of classes (some BLOCK of them, some BLOCK_SHINGLES in all) against
+   another at a time: a task holds two blocks and counts common shingles by a matrix product, so every pair in a family
+   is decided exactly while only counts of links and a spanning forest leave the task. A family of any size is split
+   over tasks.
 4. Components of the verified links are the near-duplicate classes.
 
 Shingles are compared by a 64-bit hash, sets by 128 bits.
@@ -36,8 +40,10 @@ SHINGLE = 5
 THRESHOLD = (4, 5)
 ROWS_A_BAND = 6
 RECALL = 0.99999
-#: Classes a block of a family should have.
-BLOCK = 256
+#: Rounds in which hubs are compared before buckets are joined unseen.
+HUB_ROUNDS = 2
+#: Classes a block of a family should have, and shingles (8 bytes each); a longer text is a block of its own.
+BLOCK, BLOCK_SHINGLES = 96, 1 << 18
 #: Columns of the 0/1 matrix that a task holds at once.
 COLUMNS = 8192
 
@@ -97,18 +103,74 @@ def _signatures(rows: DataFrame, bands: int, per_band: int, size: int) -> DataFr
     return rows.mapInArrow(sign, "key long, id long, set1 long, set2 long, n int, bands array<long>")
 
 
-def _texts(rows: DataFrame, size: int) -> DataFrame:
-    """(node, weight, family, low, high, side, sets) with the shingles of ``rows`` (the same, and body) as bytes."""
+def _sets(rows: DataFrame, size: int) -> DataFrame:
+    """(node, sets) with the shingles of ``rows`` (node, body) as bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in W.chunks(batch.column(4)):
+            for first, end, data, offsets in W.chunks(batch.column(1)):
                 row, found = shingles(data, offsets, size)
                 cuts = np.searchsorted(row, np.arange(end - first + 1))
                 sets = pa.array([found[p:q].tobytes() for p, q in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, end - first) for i in range(4)), sets], names=["node", "weight", "family", "blocks", "sets"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), sets], names=["node", "sets"])
 
-    return rows.select("node", "weight", "family", "blocks", "body").mapInArrow(cut, "node long, weight long, family long, blocks int, sets binary")
+    return rows.select("node", "body").mapInArrow(cut, "node long, sets binary")
+
+
+def _measure(edges: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``edges`` (hub, node) with ``near`` (within twice the distance of a link) and ``linked``, by full ``sets`` (node, sets)."""
+    a, b = threshold
+    parts = edges.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    members = edges.join(parts, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "node")
+    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("node"))
+    both = hubs.unionByName(members).join(sets, "node").select("hub", "part", "side", "node", "sets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
+        for batch in batches:
+            hub, side, node = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            near, linked = np.zeros(len(hub), bool), np.zeros(len(hub), bool)
+            for i in range(len(hub)):
+                found = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)
+                if side[i] == 0:
+                    own = found.copy()
+                    continue
+                if len(found):
+                    at = np.minimum(np.searchsorted(own, found), len(own) - 1)
+                    both = int((own[at] == found).sum())
+                    union = len(own) + len(found) - both
+                    near[i], linked[i] = both * b >= (2 * a - b) * union, both * b >= a * union
+            kept = side == 1
+            yield pa.RecordBatch.from_arrays([pa.array(hub[kept]), pa.array(node[kept]), pa.array(near[kept]), pa.array(linked[kept])], names=["hub", "node", "near", "linked"])
+
+    return both.repartition("hub", "part").sortWithinPartitions("hub", "part", "side").mapInArrow(compare, "hub long, node long, near boolean, linked boolean")
+
+
+def _family_edges(open_: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, list[DataFrame]]:
+    """((src, dst) that hold together all that may be linked, tables they are read from); ``open_`` (band, node) are buckets of two nodes or more."""
+    found, held = open_.sparkSession.createDataFrame([], "src long, dst long"), [open_]
+    for _ in range(HUB_ROUNDS):
+        # written first and merged, so that a large bucket can be split
+        hubs = stored(open_.groupBy("band").agg(F.min("node").alias("hub")), "hubs")
+        rest = stored(open_.join(hubs.hint("merge"), "band").filter("node <> hub"), "buckets")
+        measured = stored(_measure(rest.select("hub", "node").distinct(), sets, threshold), "measured")
+        part = measured.filter("near").select(F.col("hub").alias("src"), F.col("node").alias("dst"))
+        found = found.unionByName(part)
+        held += [hubs, rest, measured]
+        rest = rest.join(measured.filter("linked"), ["hub", "node"], "left_anti").select("band", "node")
+        more = stored(rest.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"), "hubs")
+        held.append(more)
+        open_ = stored(rest.join(more.hint("merge"), "band", "left_semi"), "buckets")
+        held.append(open_)
+        if open_.isEmpty():
+            return found, held
+    hubs = stored(open_.groupBy("band").agg(F.min("node").alias("hub")), "hubs")
+    held.append(hubs)
+    # a node's hubs (one a band at most) hang together through it: the least of them takes the others and the node, which
+    # leaves about one edge a node instead of one for each of its bands
+    own = open_.join(hubs.hint("merge"), "band").groupBy("node").agg(F.collect_set("hub").alias("hubs"))
+    chains = own.select(F.array_min("hubs").alias("src"), F.explode(F.array_union("hubs", F.array("node"))).alias("dst"))
+    return found.unionByName(chains.filter("src <> dst")), held
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -186,24 +248,26 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, rec
     rows = docs.select(F.xxhash64(doc_id, text).alias("key"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body"))
     signed = _signatures(rows, bands, ROWS_A_BAND, size)
     signed = stored(signed.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("set1", "set2", "n"))).drop("set1", "set2"), "signatures")
-    classes = signed.filter("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"))
+    classes = signed.filter("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
 
     dealt = classes.select("node", F.explode("bands").alias("band"))
-    least = dealt.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").drop("most")
-    # a node's hubs (one a band at most) hang together through it: the least of them takes the others and the node, which
-    # leaves about one edge a node instead of one for each of its bands
-    hubs = dealt.join(least, "band").groupBy("node").agg(F.collect_set("least").alias("hubs"))
-    chains = hubs.select(F.array_min("hubs").alias("src"), F.explode(F.array_union("hubs", F.array("node"))).alias("dst"))
-    families = components(chains.filter("src <> dst").distinct()).withColumnRenamed("component", "family")
-
-    sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = families.join(sizes, "family").join(classes.drop("bands", "id"), "node")
-    fetched = rows.join(members, "key").select("node", "weight", "family", "blocks", "body")
-    sets = _texts(fetched, size).withColumn("block", F.pmod(F.xxhash64(F.col("node")), F.col("blocks")).cast("int"))
-    other = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shared = dealt.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("band")
+    buckets = stored(dealt.join(shared.hint("merge"), "band").select("band", "node"), "buckets")
+    # texts are fetched once, for classes that share a bucket with another
+    wanted = classes.select("node", "key").join(buckets.select("node").distinct(), "node", "left_semi")
+    sets = stored(_sets(rows.join(wanted.hint("merge"), "key").dropDuplicates(["key"]), size), "sets")
+    edges, held = _family_edges(buckets, sets, threshold)
+    families = components(edges.distinct()).withColumnRenamed("component", "family")
+
+    members = stored(families.join(classes.select("node", "weight", "n"), "node"), "members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("family").agg(blocks.alias("blocks"))
+    placed = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64(F.col("node")), F.col("blocks")).cast("int")).join(sets, "node")
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = other.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("block").alias("side"), "node", "weight", "sets")
     links = stored(_verify(pairs, threshold), "links")
+    discard(sets, members, *held)
 
     joined = components(links.filter("node <> root").select(F.col("root").alias("src"), F.col("node").alias("dst")).distinct())
     counted = links.groupBy("node").agg(F.sum("weight").alias("links"))

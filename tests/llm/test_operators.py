@@ -234,6 +234,26 @@ def test_large_families_are_cut_into_blocks(spark, monkeypatch):
     assert same(listed(got, "doc_id", "class_id", "n_links"), brute.near(own))
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_unlike_texts_in_a_bucket_lose_no_link(spark, monkeypatch, rounds):
+    """Buckets of one value a band hold many unlike texts; hubs tell them apart and every link is found."""
+    monkeypatch.setattr(jaccard, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "ROWS_A_BAND", 1)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 500)
+    rng = random.Random(rounds)
+    shared = [f"s{i}" for i in range(60)]
+    own = []
+    for family in range(6):
+        words = shared + [f"f{family}x{i}" for i in range(50)]
+        for _ in range(9):  # a chain of versions: the ends are no longer alike
+            at = rng.randrange(60, 108)
+            words = words[:at] + [f"v{rng.randrange(10**6)}", f"v{rng.randrange(10**6)}"] + words[at + 2 :]
+            own.append((len(own), " ".join(words)))
+    got = jaccard.near_duplicates(spark.createDataFrame(own, "doc_id long, text string"))
+    want = brute.near(own)
+    assert len({x[1] for x in want}) == 6 and same(listed(got, "doc_id", "class_id", "n_links"), want)
+
+
 def test_keep_one(docs, rows, clashing):
     classes = [x for x, r in zip(brute.classes(pairs(rows)), rows, strict=True) if brute.shingles(r[1])]
     kept = jaccard.keep_one(clashing)
