@@ -15,8 +15,9 @@ document. What is left is grouped exactly. Windows are dealt to buckets by minim
 those of a minimizer estimated HOT or more go by their own hash, so that no bucket gets all contexts of a short
 common phrase. Repeated places go back to their documents as runs.
 
-The sketch grows with the text up to 2 ** MAX_BITS cells a row (bitmaps of 2 ** MAX_BITS / 8 bytes are broadcast);
-past that bound more windows pass the filter, and the result stays the same.
+The sketch grows with the text up to 2 ** MAX_BITS cells a row. Three bitmaps of it, of 2 ** bits / 8 bytes each, are
+all that reaches the driver and is broadcast: cells of either row estimated 2 or more, and cells of the first row
+estimated HOT or more. That is 192 MB at the bound; past it more windows pass the filter, and the result stays the same.
 
 Defined results: a null or empty text has no words; documents shorter than the window keep all words; equal rows count
 as two occurrences; an empty table gives no rows; only the id and text columns are read, whatever else the table has.
@@ -77,8 +78,13 @@ def sketch_bits(n_bytes: int, window: int = WINDOW, gram: int = GRAM) -> int:
     return max(MIN_BITS, min(MAX_BITS, math.ceil(math.log2(4 * places))), int(math.log2(SLICES)) + 3)
 
 
-def _sketch(texts: DataFrame, bits: int, window: int, gram: int) -> tuple[list[bytes], list[np.ndarray]]:
-    """Per row of the sketch: a bitmap of the cells with a count of 2 or more, and the sorted cells with HOT or more."""
+def sketch_bytes(bits: int) -> int:
+    """Bytes of the bitmaps that are collected and broadcast."""
+    return 3 * (1 << bits) // 8
+
+
+def _sketch(texts: DataFrame, bits: int, window: int, gram: int) -> tuple[list[bytes], bytes]:
+    """Bitmaps of the cells with a count of 2 or more, one for each row of the sketch, and of the first row's cells with HOT or more."""
     inner = bits - int(math.log2(SLICES))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,18 +126,22 @@ def _sketch(texts: DataFrame, bits: int, window: int, gram: int) -> tuple[list[b
                 cell = np.frombuffer(cells.as_buffer(), np.uint32)
                 sums[cell] = np.minimum(sums[cell].astype(np.uint16) + np.frombuffer(counts.as_buffer(), np.uint8), 255)
         for s, sums in total.items():
-            arrays = [pa.array([s], pa.int32()), pa.array([np.packbits(sums >= 2, bitorder="little").tobytes()], pa.binary()), pa.array([np.flatnonzero(sums >= HOT).astype(np.uint32).tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["slice", "twice", "hot"])
+            bitmaps = [np.packbits(sums >= least, bitorder="little").tobytes() for least in (2, HOT)]
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array(bitmaps[:1], pa.binary()), pa.array([bitmaps[1] if s < SLICES else None], pa.binary())], names=["slice", "twice", "hot"])
 
     merged = texts.mapInArrow(local, "slice int, cells binary, counts binary").repartition("slice").mapInArrow(merge, "slice int, twice binary, hot binary")
-    twice = [bytearray((1 << bits) // 8) for _ in range(2)]
-    hot: list[list[np.ndarray]] = [[], []]
+    maps = [bytearray((1 << bits) // 8) for _ in range(3)]
     size = (1 << inner) // 8
-    for s, bitmap, many in merged.collect():  # 2 * SLICES rows, 2 ** MAX_BITS / 4 bytes in all at most
+    for s, twice, hot in merged.collect():  # 2 * SLICES rows, sketch_bytes(bits) in all
         row, part = divmod(s, SLICES)
-        twice[row][part * size : (part + 1) * size] = bitmap
-        hot[row].append(np.frombuffer(many, np.uint32) + np.uint32(part << inner))
-    return [bytes(x) for x in twice], [np.sort(np.concatenate(x)) if x else np.zeros(0, np.uint32) for x in hot]
+        for own, bitmap in ((maps[row], twice), (maps[2], hot)):
+            if bitmap is not None:
+                own[part * size : (part + 1) * size] = bitmap
+    return [bytes(maps[0]), bytes(maps[1])], bytes(maps[2])
+
+
+def _set(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1
 
 
 def _runs(keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
@@ -160,8 +170,8 @@ def repeated(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     filter_ = spark.sparkContext.broadcast(_sketch(rows.select("body"), bits, window, gram))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice, hot = filter_.value
-        twice = [np.frombuffer(x, np.uint8) for x in twice]
+        twice = [np.frombuffer(x, np.uint8) for x in filter_.value[0]]
+        hot = np.frombuffer(filter_.value[1], np.uint8)
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
@@ -200,12 +210,11 @@ def repeated(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
                     continue
                 mini = grams[place]
                 low, high = _cells(mini, bits)
-                maybe = (twice[0][low >> 3] >> (low & 7).astype(np.uint8)) & (twice[1][high >> 3] >> (high & 7).astype(np.uint8)) & 1
-                keep = np.flatnonzero(maybe)
+                keep = np.flatnonzero(_set(twice[0], low) & _set(twice[1], high))
                 if not len(keep):
                     continue
                 at, mini = at[keep], mini[keep]
-                many = np.isin(low[keep], hot[0]) & np.isin(high[keep], hot[1])
+                many = _set(hot, low[keep]).astype(bool)
                 row = rows_[at]
                 first_word = np.searchsorted(rows_, row)
                 held.append((W.sequences(words, window)[at], mini, many, own[first + row], (at - first_word).astype(np.uint32)))
@@ -257,8 +266,10 @@ def _payload(bucket: int, hashed: np.ndarray, grams: np.ndarray, keys: np.ndarra
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, ``kept``: the words left, joined by one space."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(doc_id, text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    back = repeated(rows, window).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    joined = rows.join(back, "key", "left").select("id", "body", "runs")
+    # equal rows share a key, and tasks find the same runs for them: a set holds each once
+    back = repeated(rows, window).groupBy("key").agg(F.flatten(F.collect_set("runs")).alias("runs"))
+    # shuffled at every size, never broadcast
+    joined = rows.join(back.hint("merge"), "key", "left").select("id", "body", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,8 +1,10 @@
 """Equal rows: blocks of the benchmark index with equal contents, lines that many documents share."""
 
+import random
+
 import numpy as np
 
-from kithwork.llm import decontamination, lines
+from kithwork.llm import decontamination, lines, substrings
 
 from . import brute
 from .conftest import listed, same
@@ -34,3 +36,20 @@ def test_line_index_holds_real_counts_and_answers_from_many_copies(spark, monkey
     monkeypatch.setattr(lines, "COPY_PROBES", 40)
     got = lines.drop_repeated_lines(docs, with_text=False)
     assert same(listed(got, "doc_id", "n_lines", "n_dropped", "kept_sha256"), brute.drop_lines(own))
+
+
+def test_sketch_stays_in_its_bound(spark, docs):
+    bits = substrings.sketch_bits(0)
+    twice, hot = substrings._sketch(docs.selectExpr("coalesce(text, '') AS body"), bits, 35, 16)
+    assert sum(map(len, twice)) + len(hot) == substrings.sketch_bytes(bits)
+    assert substrings.sketch_bits(10**15) == substrings.MAX_BITS and substrings.sketch_bytes(substrings.MAX_BITS) == 192 << 20
+
+
+def test_substrings_of_many_equal_rows_and_a_very_long_text(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    passage = say(60)
+    own = [(None, passage)] * 200 + [(7, f"{say(20)} {passage} {say(300_000)} {passage[:180]}"), (8, say(50))]
+    frame = spark.createDataFrame(own, "doc_id long, text string").repartition(5)
+    got = substrings.remove_repeats(frame, with_text=False)
+    assert same(listed(got, "doc_id", "n_words", "n_removed", "kept_sha256"), brute.drop_windows(own))
