@@ -20,7 +20,7 @@ from kithwork.functions.storage import stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-WINDOW = 8
+WINDOW = 8  # a power of 2: windows are hashed by doubling
 ROUNDS = 60
 
 # Frequent short words of four languages, lower case.
@@ -57,17 +57,19 @@ def counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.size(F.filter("words", lambda w: F.substring(w, -1, 1).isin(".", "!", "?"))).cast("long").alias("n_stops"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
-    windows = F.when(
-        F.col("n_words") >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW))),
-    ).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn("windows", windows).withColumn("n_distinct_words", F.size(F.array_distinct("hashes")).cast("long")).drop("hashes")
+    rows = rows.withColumn("n_distinct_words", F.size(F.array_distinct("hashes")).cast("long"))
+    # a window's hash by doubling: of two words, of four, of eight; the places behind the last window are cut off
+    rows = rows.withColumn("windows", F.col("hashes")).drop("hashes")
+    for step in (1, 2, 4):
+        later = F.slice("windows", step + 1, F.greatest(F.lit(0), F.size("windows") - step))
+        rows = rows.withColumn("windows", F.zip_with("windows", later, lambda x, y: F.xxhash64(x, y)))
+    rows = rows.withColumn("windows", F.slice("windows", 1, F.greatest(F.lit(0), F.col("n_words").cast("int") - (WINDOW - 1))))
     # only documents with a repeat pay for the sort
-    sorted_ = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    sorted_ = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     rows = rows.withColumn("ordered", F.when(F.size("windows") > F.size(F.array_distinct("windows")), sorted_).otherwise(F.expr("CAST(array() AS array<struct<h:bigint,i:int>>)"))).drop("windows")
     near = lambda x, k: (F.get("ordered", k - 1)["h"] == x["h"]) | (F.get("ordered", k + 1)["h"] == x["h"])
     hit = F.filter(F.transform("ordered", lambda x, k: F.when(near(x, k), x["i"])), lambda i: i.isNotNull())
-    return rows.withColumn("n_repeat_words", _covered(F.array_sort(hit)).cast("long")).drop("ordered")
+    return rows.withColumn("n_repeat_words", _covered(F.sort_array(hit)).cast("long")).drop("ordered")
 
 
 def _covered(places: Column) -> Column:
