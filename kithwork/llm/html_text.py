@@ -10,7 +10,8 @@ All pages of a batch form one forest, so messages are numpy operations by depth.
 shuffle, and a lost executor repeats only its batches.
 
 Defined results: null or empty html gives an empty text; markup errors (unclosed or stray tags, cut references,
-missing end) are read as browsers do, roughly; equal rows give equal texts; an empty table gives no rows; only the
+missing end) are read as browsers do, roughly; all white space of Unicode, no-break spaces included, counts as white
+space inside a block; equal rows give equal texts; an empty table gives no rows; only the
 page's id, url and html columns are read, whatever else the table has.
 """
 

@@ -22,3 +22,8 @@ def pieces(source):
 ])
 def test_nothing_behind_is_lost(source):
     assert pieces(source) == pieces(BODY) != ""
+
+
+def test_white_space_of_any_kind_becomes_one_space():
+    page = "<body><article><h1>A&nbsp;&nbsp;title</h1><p>First\u2003words\u00a0\n\t of it, and more of them so that it is a paragraph.</p></article></body>"
+    assert html_text.trained().texts([page]) == ["A title\nFirst words of it, and more of them so that it is a paragraph."]
