@@ -344,11 +344,6 @@ def _allowed() -> np.ndarray:
     return move
 
 
-def _sum_log(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
-
-
 class Field:
     """Weights of the linear chain: ``emit`` (features x labels) and ``move`` (labels x labels)."""
 
@@ -546,26 +541,33 @@ def trained(rounds: int = 120, ridge: float = 0.02) -> Field:
     counted = np.zeros((n, n))
     for row, size in enumerate(length):
         np.add.at(counted, (around[row, : size + 1], around[row, 1 : size + 2]), 1)
+    last = (np.arange(len(table)), length - 1)
     for r in range(rounds):
         u = np.stack([np.bincount(cell, emit[feat, j], len(table) * longest) for j in range(n)], 1).reshape(len(table), longest, n)
-        m = move + rule
-        a, b = np.zeros_like(u), np.zeros_like(u)
-        a[:, 0] = m[0] + u[:, 0]
-        for t in range(1, longest):
-            a[:, t] = np.where(real[:, t, None], _sum_log(a[:, t - 1, :, None] + m, 1) + u[:, t], a[:, t - 1])
-        b[:, -1] = m[:, 0]
+        # forward and backward products, scaled at each word so that the forward ones sum to 1
+        own, step = np.exp(u - u.max(2, keepdims=True)), np.exp(move + rule)
+        a, b, scale = np.empty_like(u), np.empty_like(u), np.ones(real.shape)
+        reach = np.broadcast_to(step[0], (len(table), n))
+        for t in range(longest):
+            a[:, t] = reach * own[:, t]
+            scale[:, t] = a[:, t].sum(1)
+            a[:, t] /= scale[:, t, None]
+            reach = a[:, t] @ step
+        end = a[last] * step[:, 0]
+        whole = end.sum(1)
+        beyond = step[:, 0] / whole[:, None]
+        b[:, -1] = beyond
         for t in range(longest - 2, -1, -1):
-            b[:, t] = np.where(real[:, t + 1, None], _sum_log(m + (u[:, t + 1] + b[:, t + 1])[:, None, :], 2), m[:, 0])
-        z = _sum_log(a[:, -1] + m[:, 0], 1)
-        p = np.exp(a + b - z[:, None, None]) * real[:, :, None]
+            b[:, t] = np.where(real[:, t + 1, None], (own[:, t + 1] * b[:, t + 1]) @ step.T / scale[:, t + 1, None], beyond)
+        p = a * b * real[:, :, None]
         goal = -p
         goal[real, truth[real]] += 1
         goal = goal.reshape(-1, n)
         g_emit = np.stack([np.bincount(feat, goal[cell, j], len(index)) for j in range(n)], 1) - ridge * emit
-        pairs = np.exp(a[:, :-1, :, None] + m + (u[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * real[:, 1:, None, None]
-        expected = pairs.sum((0, 1))
+        into = (own * b / scale[:, :, None] * real[:, :, None])[:, 1:].reshape(-1, n)
+        expected = step * (a[:, :-1].reshape(-1, n).T @ into)
         expected[0] += p[:, 0].sum(0)
-        expected[:, 0] += np.exp(a[:, -1] + m[:, 0] - z[:, None]).sum(0)
+        expected[:, 0] += (end / whole[:, None]).sum(0)
         g_move = counted - expected - ridge * move
         for w, g, s in ((emit, g_emit, state[0]), (move, g_move, state[1])):
             s *= 0.9
