@@ -7,7 +7,7 @@
    full sets, never all with all. Distances of sets obey the triangle inequality: what is linked to a class that is
    linked to the hub lies within twice the distance of a link. So classes within that are joined to the hub's family,
    classes linked to the hub are done with this bucket, and the others try again without it. After HUB_ROUNDS rounds the
-   few buckets left are joined unseen. Chance collisions of unlike texts thus do not make families.
+   buckets left are joined unseen. Chance collisions of unlike texts thus do not make families.
 3. Families are verified on full sets, a block of classes (some BLOCK of them, some BLOCK_SHINGLES in all) against
    another at a time: a task holds two blocks and counts common shingles by a matrix product, so every pair in a family
    is decided exactly while only counts of links and a spanning forest leave the task. A family of any size is split
@@ -40,8 +40,8 @@ SHINGLE = 5
 THRESHOLD = (4, 5)
 ROWS_A_BAND = 6
 RECALL = 0.99999
-#: Rounds in which hubs are compared before buckets are joined unseen.
-HUB_ROUNDS = 2
+#: Rounds in which hubs are compared before buckets are joined unseen; one tells the usual bucket of two apart.
+HUB_ROUNDS = 1
 #: Classes a block of a family should have, and shingles (8 bytes each); a longer text is a block of its own.
 BLOCK, BLOCK_SHINGLES = 96, 1 << 18
 #: Columns of the 0/1 matrix that a task holds at once.
