@@ -29,8 +29,9 @@ def shortest_paths(params: DataFrame, edges: DataFrame, method: str = "auto") ->
 
 def top_tags(params: DataFrame, net: Network) -> DataFrame:
     """``params`` (qid, k, d) -> (qid, rank, tag, size)."""
-    edges = stored(tag_communities.tag_edges(net.knows, net.interest, net.person), "tag-edges")
-    sizes = tag_communities.sizes_at(edges, net.interest, net.person, params)
+    interest, person = stored(net.interest, "interest"), stored(net.person, "person")
+    edges = stored(tag_communities.tag_edges(net.knows, interest, person), "tag-edges")
+    sizes = tag_communities.sizes_at(edges, interest, person, params)
     return tag_communities.top_tags(params, sizes, net.tag)
 
 
