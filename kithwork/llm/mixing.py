@@ -7,8 +7,10 @@
 3. Slots: those words are cut into blocks of the source's own length, as many as its share of SLOTS, or LEAST_SLOTS
    (one a word) if that is more. The k-th of n blocks lies at ``(k + u) / n`` of the schedule, where u is the
    golden-ratio point of the source's number, so any stretch of slots is near the weights.
-4. A document is taken as often as its words lie in blocks. The blocks tile the words that the source gives, so that is
-   whole passes over the stream and what of the document lies in the rest: exact for a source of any size.
+4. A document is cut where slots end, once for each pass over the stream. Its pieces are joined with the slots; what it
+   gives is the sum of what slots cover, and ``first_slot`` is the least of them. The blocks tile the words that the
+   source gives, so each source gives its target (rounded), at any size. Pieces are at most slots plus passes of
+   documents; the join is shuffled by source and rank, so a slot or source of many documents is no task of its own.
 
 A source's stream positions come from two levels (sizes of hash parts, then a running sum in each part), so a source
 that holds a third of all rows is spread over PARTS tasks. What reaches the driver is one row a source; at most
@@ -31,7 +33,7 @@ from kithwork.functions.storage import stored
 
 #: Parts of a source's stream that are summed apart.
 PARTS = 256
-#: Slots that the sources share; what is taken does not depend on it.
+#: Slots that the sources share; how many words a source gives does not depend on it.
 SLOTS = 1 << 20
 #: Slots of a source that gives at least as many words.
 LEAST_SLOTS = 64
@@ -69,8 +71,38 @@ def targets(sizes: Sequence[int], weights: Sequence[float], max_epochs: int = 3)
     return out
 
 
+def schedule(sources: DataFrame) -> DataFrame:
+    """Slots of all sources in the order of their places: slot, number and source, rank, begin (word that the source gives), first (word of its stream), words."""
+    # cells of the unit interval are counted, and numbered inside
+    grid = 1024
+    drawn = sources.filter("n_slots > 0").withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1)))
+    drawn = drawn.withColumn("place", (F.col("rank") + ((F.col("number") + 0.5) * GOLDEN) % 1.0) / F.col("n_slots")).withColumn("cell", F.floor(F.col("place") * grid))
+    earlier = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = drawn.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("cell").orderBy("place", "number")) - 1
+    # given * rank may pass 64 bits
+    cut = lambda k: F.expr(f"CAST(CAST(given AS DECIMAL(19, 0)) * {k} DIV n_slots AS LONG)")
+    slots = drawn.join(F.broadcast(cells), "cell").withColumn("slot", F.col("ahead") + inside).withColumn("begin", cut("rank"))
+    return slots.select("slot", "number", "source", "rank", "begin", (F.col("begin") % F.expr("nullif(source_size, 0)")).alias("first"), (cut("(rank + 1)") - F.col("begin")).alias("words"))
+
+
+def covered(placed: DataFrame, slots: DataFrame) -> DataFrame:
+    """``placed`` (documents in their sources' streams) with first_slot and taken, by the slots that their words lie in."""
+    columns = [c for c in placed.columns if c not in ("given", "n_slots")]
+    passes = F.expr("CASE WHEN size > 0 AND given > start THEN sequence(0L, (given - start - 1) DIV source_size) ELSE array(CAST(NULL AS LONG)) END")
+    pieces = placed.withColumn("pass", F.explode(passes)).withColumn("from", F.expr("start + pass * source_size")).withColumn("to", F.expr("least(from + size, given)"))
+    # the slot of word x: the last k with given * k DIV n_slots <= x; a document that no pass reaches gets a rank of its own without slot
+    slot_of = lambda x: f"CAST((CAST({x} AS DECIMAL(19, 0)) * n_slots - 1) DIV nullif(given, 0) AS LONG)"
+    ranks = F.expr(f"CASE WHEN pass IS NULL THEN array(-nth) ELSE sequence({slot_of('from + 1')}, {slot_of('to')}) END")
+    pieces = pieces.withColumn("rank", F.explode(ranks)).select(*columns, "from", "to", "rank")
+    # estimates of exploded slots are far too low: shuffled at every size, never broadcast
+    found = pieces.join(slots.select("number", "rank", "slot", "begin", "words").hint("merge"), ["number", "rank"], "left")
+    words = F.expr("greatest(0L, least(to, begin + words) - greatest(from, begin))")
+    return found.groupBy(*columns).agg(F.min(F.when(words > 0, F.col("slot"))).alias("first_slot"), F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), words)), F.lit(0)).cast("long").alias("taken"))
+
+
 def mix(docs: DataFrame, cycle: Sequence[float] = (1, 2, 3), max_epochs: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(documents, slots). documents: doc_id, source, size, source_size, target, start, taken; slots: slot, source, rank, first (word of the stream), words."""
+    """(documents, slots). documents: doc_id, source, size, source_size, target, start, taken, first_slot (null if not taken); slots as in schedule()."""
     spark = docs.sparkSession
     # text hash in the order key: documents that share an id still have a fixed order
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(doc_id, text).alias("shuffle_key"))
@@ -91,32 +123,19 @@ def mix(docs: DataFrame, cycle: Sequence[float] = (1, 2, 3), max_epochs: int = 3
     schema = T.StructType([T.StructField("number", T.IntegerType()), T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("given", T.LongType()), T.StructField("n_slots", T.LongType())])
     sources = spark.createDataFrame(rows, schema)
 
-    # slots in the order of their places: cells of the unit interval are counted, and numbered inside
-    grid = 1024
-    drawn = sources.filter("n_slots > 0").withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1)))
-    drawn = drawn.withColumn("place", (F.col("rank") + ((F.col("number") + 0.5) * GOLDEN) % 1.0) / F.col("n_slots")).withColumn("cell", F.floor(F.col("place") * grid))
-    earlier = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = drawn.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
-    inside = F.row_number().over(Window.partitionBy("cell").orderBy("place", "number")) - 1
-    # given * rank may pass 64 bits
-    cut = lambda k: F.expr(f"CAST(CAST(given AS DECIMAL(19, 0)) * {k} DIV n_slots AS LONG)")
-    slots = drawn.join(cells, "cell").withColumn("slot", F.col("ahead") + inside)
-    slots = slots.select("slot", "source", "rank", (cut("rank") % F.expr("nullif(source_size, 0)")).alias("first"), (cut("(rank + 1)") - cut("rank")).alias("words"))
+    slots = schedule(sources)
 
     # where each document's words lie in its source's stream
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     part_starts = parts.select("source", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("part_start"))
-    named = sources.select(F.col("source").alias("s_source"), "source_size", "target", "given")
+    named = sources.select(F.col("source").alias("s_source"), "number", "source_size", "target", "given", "n_slots")
     lookup = part_starts.join(named, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
-    inside = Window.partitionBy("source", "part").orderBy("shuffle_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d")
+    order = Window.partitionBy("source", "part").orderBy("shuffle_key", "doc_id", "size")
+    ahead = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sized.withColumns({"ahead": ahead, "nth": F.row_number().over(order).cast("long")}).alias("d")
     lookup = lookup.alias("l")
     placed = placed.join(lookup, F.col("d.source").eqNullSafe(F.col("l.source")) & (F.col("d.part") == F.col("l.part")))
-    placed = placed.select("d.doc_id", "d.source", "d.size", "l.source_size", "l.target", "l.given", (F.col("l.part_start") + F.col("d.ahead")).alias("start"))
-
-    # whole passes over the source's stream, and the part of the last one that reaches into the document
-    passes = F.expr("given DIV nullif(source_size, 0)") * F.col("size")
-    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.expr("given % nullif(source_size, 0)") - F.col("start")))
-    taken = F.when(F.col("size") > 0, passes + rest).otherwise(0).cast("long")
-    documents = placed.select("doc_id", "source", "size", F.col("source_size").cast("long"), "target", "start", taken.alias("taken"))
+    # equal rows stay apart by their number in the part
+    placed = placed.select("d.doc_id", "d.source", "l.number", "d.part", "d.nth", "d.size", F.col("l.source_size").cast("long"), "l.target", "l.given", "l.n_slots", (F.col("l.part_start") + F.col("d.ahead")).alias("start"))
+    documents = covered(placed, slots).select("doc_id", "source", "size", "source_size", "target", "start", "taken", "first_slot")
     return documents, slots

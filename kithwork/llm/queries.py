@@ -41,7 +41,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from kithwork.llm import mixing
+from kithwork.llm import mixing, queries
 
 from .conftest import SCHEMA
 
@@ -61,3 +61,29 @@ def test_taken_is_what_the_slots_cover(spark, docs, monkeypatch, slots):
                 ends[r["source"]] += r["size"]
             assert r["taken"] == sum(times[r["source"]][r["start"] : r["start"] + r["size"]])
         assert all(ends[s] == n for s, n in size.items())
+
+
+@pytest.mark.parametrize("slots", [64, 1 << 20])
+def test_what_is_taken_is_counted_from_the_slots(spark, docs, tmp_path, monkeypatch, slots):
+    """With slots withheld, a document gives what the others cover, and its first slot is the first of those."""
+    monkeypatch.setattr(mixing, "SLOTS", slots)
+    for n, own in enumerate((own_docs(spark), docs)):
+        path = f"file://{tmp_path}/{n}"
+        own.write.parquet(f"{path}/documents.parquet")
+        whole = {(r["source"], r["start"], r["size"]): r for r in mixing.mix(own)[0].collect()}
+        with monkeypatch.context() as m:
+            plan = mixing.schedule
+            m.setattr(mixing, "schedule", lambda sources, plan=plan: plan(sources).filter("slot % 3 > 0"))
+            documents, table = mixing.mix(own)
+            rows, kept = documents.collect(), table.collect()
+            answer = queries.op6_mix(spark, path).collect()
+        cover, size = defaultdict(list), {r["source"]: r["source_size"] for r in rows}
+        for r in kept:
+            for w in range(r["words"]):
+                cover[r["source"], (r["first"] + w) % size[r["source"]]].append(r["slot"])
+        for r in rows:
+            got = [s for x in range(r["start"], r["start"] + r["size"]) for s in cover[r["source"], x]]
+            assert (r["taken"], r["first_slot"]) == (len(got), min(got, default=None))
+        assert sum(r["taken"] for r in rows) < sum(r["taken"] for r in whole.values())
+        key = lambda r: (r["doc_id"] is not None, r["doc_id"], r["size"], r["taken"], r["first_slot"] or -1)
+        assert sorted(map(key, answer)) == sorted(map(key, rows))
