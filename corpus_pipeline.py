@@ -52,8 +52,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: words taken by size, rounded, so none to three times."""
-    rows, _ = mixing.mix(_keyed(docs), doc_id=KEY)
+    """Documents as often as the mix takes them: words that its slots cover by size, rounded, so none to three times.
+
+    The slots decide what goes on and how often. Their order does not: columns stay, and sharding numbers rows by hash.
+    """
+    rows = mixing.mix(_keyed(docs), doc_id=KEY)[0]
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
     taken = rows.filter("size > 0").groupBy(F.col("doc_id").alias(KEY)).agg(F.sum(copies).cast("int").alias("__kw_copies"), F.count(F.lit(1)).alias("__kw_rows"))
     # as many rows as documents: shuffled at every size, never broadcast

@@ -1,9 +1,10 @@
 """Every source of a mix comes to its target, however small it is beside the others."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from kithwork.llm import mixing, queries
 
 from .conftest import SCHEMA
@@ -87,3 +88,26 @@ def test_what_is_taken_is_counted_from_the_slots(spark, docs, tmp_path, monkeypa
         assert sum(r["taken"] for r in rows) < sum(r["taken"] for r in whole.values())
         key = lambda r: (r["doc_id"] is not None, r["doc_id"], r["size"], r["taken"], r["first_slot"] or -1)
         assert sorted(map(key, answer)) == sorted(map(key, rows))
+
+
+def test_the_pipeline_passes_on_what_the_slots_cover(spark, monkeypatch):
+    """Documents go on to sharding as often as slots cover them, counted word by word; a source without slots does not."""
+    own = own_docs(spark)
+    plan = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda sources: plan(sources).filter("source <> 'big1' AND slot % 3 > 0"))
+    documents, table = mixing.mix(corpus_pipeline._keyed(own), doc_id=corpus_pipeline.KEY)
+    rows = documents.collect()
+    times, size = defaultdict(int), {r["source"]: r["source_size"] for r in rows}
+    for r in table.collect():
+        for w in range(r["words"]):
+            times[r["source"], (r["first"] + w) % size[r["source"]]] += 1
+    names = {r[corpus_pipeline.KEY]: r["doc_id"] for r in corpus_pipeline._keyed(own).collect()}
+    want = Counter()
+    for r in rows:
+        words = sum(times[r["source"], x] for x in range(r["start"], r["start"] + r["size"]))
+        want[names[r["doc_id"]]] = (2 * words + r["size"]) // (2 * r["size"])
+    mixed = corpus_pipeline.mix_sources(spark, own, None)
+    assert mixed.columns == own.columns
+    sharded = corpus_pipeline.shard(spark, mixed, None).collect()
+    assert Counter(r["doc_id"] for r in sharded) == +want and max(want.values()) > 1
+    assert {r["source"] for r in sharded} >= {"big0", "big2"} and "big1" not in {r["source"] for r in sharded}
