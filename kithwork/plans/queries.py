@@ -157,27 +157,41 @@ def top_pairs(params: DataFrame, net: Network, method: str = "auto") -> DataFram
 def top_central(params: DataFrame, net: Network, method: str = "auto") -> DataFrame:
     """``params`` (qid, k, tag) -> (qid, rank, person_id, r, s, centrality).
 
-    The communities of all tags are one table of edges by tag. While they fit the kernel together all members are
-    exact at once; larger ones go one by one, in descending order of a bound until no one left can be among the best.
+    The communities of all tags are one table of edges by tag. As many as fit the kernel together go in one round of
+    jobs; those that do not fit it alone are evaluated by joins. Either way members are taken in descending order of a
+    bound until no one left can be among the best.
     """
     asked = [tuple(r) for r in params.filter("tag IS NOT NULL").groupBy("tag").agg(F.max("k")).collect()]  # tags of a query file
     if not asked:
         return params.selectExpr("qid", "k AS rank", "k AS person_id", "k AS r", "k AS s", "CAST(k AS double) AS centrality").limit(0)
     members = stored(people.tag_members(net, params.select(F.col("tag").alias("name"))), "members")
     ends = lambda c: members.withColumnRenamed("person_id", c)
-    inside = net.knows.join(ends("src"), "src").join(ends("dst"), ["name", "dst"]).select("name", "src", "dst")
-    sums = kernel.group_sums(inside) if method != "frontier" else None
-    if sums is not None:
-        sizes = members.groupBy("name").agg(F.count(F.lit(1)).alias("size"))
-        rows = members.join(sizes, "name").join(sums.withColumnRenamed("node", "person_id"), ["name", "person_id"], "left")
-        r, s = F.coalesce("r", F.lit(0)).cast("long"), F.coalesce("s", F.lit(0)).cast("long")
-        found = rows.select(F.col("name").alias("tag"), "person_id", r.alias("r"), s.alias("s"), closeness.centrality(r, s, F.col("size")).alias("centrality"))
-    else:
-        inside, found = stored(inside, "communities"), None
-        for name, k in sorted(asked):
+    inside = stored(net.knows.join(ends("src"), "src").join(ends("dst"), ["name", "dst"]).select("name", "src", "dst"), "communities")
+    count = lambda rows: {r["name"]: r["count"] for r in rows.groupBy("name").count().collect()}  # noqa: E731 one row a tag
+    sizes, edges = count(members), count(inside)
+    together: list[list[str]] = []
+    found, room = None, 0
+    for name, k in sorted(asked):
+        n = edges.get(name, 0)
+        if name not in sizes:
+            continue
+        if method == "frontier" or n > kernel.MAX_PLAIN:
             own = members.filter(F.col("name") == name).select("person_id")
-            part = closeness.top_k(inside.filter(F.col("name") == name).select("src", "dst"), own, k, method=method).withColumn("tag", F.lit(name))
+            part = closeness.top_k(inside.filter(F.col("name") == name).select("src", "dst"), own, k, method="frontier").withColumn("name", F.lit(name))
             found = part if found is None else found.unionByName(part)
+        elif together and n <= room:
+            together[-1].append(name)
+            room -= n
+        else:
+            together.append([name])
+            room = kernel.MAX_PLAIN - n
+    for names in together:
+        own = F.col("name").isin(names)
+        part = closeness.top_k_by_name(inside.filter(own), members.filter(own), {name: (k, sizes[name]) for name, k in asked if name in names})
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return params.selectExpr("qid", "k AS rank", "k AS person_id", "k AS r", "k AS s", "CAST(k AS double) AS centrality").limit(0)
+    found = found.withColumnRenamed("name", "tag")
     order = Window.partitionBy("qid").orderBy(F.col("centrality").desc(), "person_id")
     rows = found.join(F.broadcast(params.select("qid", "k", "tag")), "tag")
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= F.col("k")).select("qid", "rank", "person_id", "r", "s", "centrality")
