@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from kithwork.operators import pairs
+from kithwork.operators import graph, pairs
 
 
 @pytest.mark.parametrize("cell", [20, 300, 8_000_000])
@@ -39,3 +39,17 @@ def test_common_tags(spark, monkeypatch, cell, step):
 def test_no_rows(spark):
     assert pairs.common_tags(spark.createDataFrame([], "person_id long, tag_id long")).count() == 0
     assert pairs.all_pairs(spark.createDataFrame([], "person_id long")).count() == 0
+
+
+def test_pairs_that_meet_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks grow with the pairs that a join makes, not with the rows that it reads."""
+    monkeypatch.setattr(graph, "TASK_ROWS", 400)
+    rng = random.Random(8)
+    edges = {(a, b) for a, b in ((rng.randrange(150), rng.randrange(150)) for _ in range(300)) if a != b}
+    knows = spark.createDataFrame(sorted(edges | {(b, a) for a, b in edges}), "src long, dst long")
+    persons = spark.range(0, 150, 2).withColumnRenamed("id", "person_id")
+    for h in (1, 2, 3, 4):
+        found = graph.pair_distances(knows, persons, h, "frontier")
+        assert {tuple(r) for r in found.collect()} == {tuple(r) for r in graph.pair_distances(knows, persons, h, "kernel").collect()}
+    made = [len(x) for x in found.rdd.glom().collect()]
+    assert max(made) <= 400 < sum(made)
